@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cumula.llm import simhash
-from cumula.llm.common import table
+from cumula.llm import line_dedup, packing, quality_rules, simhash, toxicity
+from cumula.llm.common import held_out, table
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and place of every piece of every document."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.with_scores(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that repeat an earlier one."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +35,44 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule metrics and verdict of every document."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
+    "op4_line_dedup": op4_line_dedup,
     "op7_simhash": op7_simhash,
+    "op9_quality_rules": op9_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+#: Lines of ten characters or more, trimmed; a partner one edit away shares the first or the last five.
+LINE_DEDUP_SQL = r"""
+with d as (select doc_id, text, row_number() over () as rid from documents),
+raw as (select rid, doc_id, unnest(string_split(text, chr(10))) as s0, unnest(range(len(string_split(text, chr(10))))) as line from d where text is not null),
+li as (select rid, doc_id, line, s0, trim(s0, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as s from raw),
+el as (select s, min(struct_pack(doc_id := doc_id, line := line)) as f from li where length(s) >= 10 group by s),
+near as (
+  select a.s from el a join el b on left(a.s, 5) = left(b.s, 5) and a.f > b.f and abs(length(a.s) - length(b.s)) <= 1 and levenshtein(a.s, b.s) <= 1
+  union
+  select a.s from el a join el b on right(a.s, 5) = right(b.s, 5) and a.f > b.f and abs(length(a.s) - length(b.s)) <= 1 and levenshtein(a.s, b.s) <= 1),
+marked as (
+  select li.*, length(li.s) >= 10 and (near.s is not null or struct_pack(doc_id := li.doc_id, line := li.line) > el.f) as gone
+  from li left join el on li.s = el.s left join near on li.s = near.s),
+per as (
+  select rid, count(*)::int as n_lines, (count(*) filter (where gone))::int as n_removed,
+         string_agg(s0, chr(10) order by line) filter (where not coalesce(gone, false)) as kept,
+         coalesce(bool_or(s <> '') filter (where not coalesce(gone, false)), false) as worded
+  from marked group by rid)
+select d.doc_id, case when d.text is null then null else coalesce(per.kept, '') end as text,
+       coalesce(per.n_lines, 0) as n_lines, coalesce(per.n_removed, 0) as n_removed,
+       coalesce(per.n_removed > 0 and not per.worded, false) as emptied
+from d left join per on d.rid = per.rid
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": LINE_DEDUP_SQL,
+}
