@@ -5,13 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumula.llm import line_dedup, packing, quality_rules, simhash, toxicity
+from cumula.llm import line_dedup, mpeg_audio, packing, quality_rules, sentencepiece_codec, simhash, token_counts, toxicity
 from cumula.llm.common import held_out, table
 
 
+#: Tokens beyond which a document is over the limit.
+TOKEN_LIMIT = 1024
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, their spans and the decoded text, as digests."""
+    return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence and place of every piece of every document."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -30,6 +40,17 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document carried in MPEG audio frames and read back."""
+    return mpeg_audio.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -41,9 +62,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op6_media_columns": op6_media_columns,
     "op7_simhash": op7_simhash,
     "op9_quality_rules": op9_quality_rules,
     "pipeline": corpus_pipeline.run,
