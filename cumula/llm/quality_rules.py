@@ -35,7 +35,7 @@ def ratio_table(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     multinomial counts every document, the trusted one those named. Without any
     trusted text all ratios are about even.
     """
-    marked = docs.join(trusted.withColumn("_t", F.lit(1)), "doc_id", "left")
+    marked = docs.join(trusted.withColumn("_t", F.lit(1)).hint("merge"), "doc_id", "left")  # labels grow with the documents
     hashed = marked.select("_t", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     grams = hashed.select("_t", F.explode(_buckets(F.col("h"), F.col("h"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_t").alias("target"))
