@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumula.llm import line_dedup, mpeg_audio, packing, quality_rules, sentencepiece_codec, simhash, token_counts, toxicity
+from cumula.llm import cotraining, line_dedup, mpeg_audio, packing, quality_rules, sentencepiece_codec, simhash, token_counts, token_files, toxicity
 from cumula.llm.common import held_out, table
 
 
@@ -56,11 +56,23 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by two co-trained views."""
+    docs = table(spark, sf_dir, "documents")
+    scored = cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("kept"), "by_words", "by_page")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule metrics and verdict of every document."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document written in range-coded stripes and read back."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_packing": op2_packing,
@@ -69,7 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_media_columns": op6_media_columns,
     "op7_simhash": op7_simhash,
+    "op8_cotraining": op8_cotraining,
     "op9_quality_rules": op9_quality_rules,
+    "op10_token_files": op10_token_files,
     "pipeline": corpus_pipeline.run,
 }
 
