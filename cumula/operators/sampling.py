@@ -9,19 +9,20 @@ from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from cumula.functions.wind import distance_score, haversine
+from cumula.operators.components import durable
 
 
-def _probe(cells: DataFrame, points: DataFrame, k: int, bucket: float, ring: int) -> DataFrame:
-    """Ranked candidates of each point within ``ring`` buckets, with the score up to which they are complete."""
-    turns = round(360 / bucket)
+def _probe(cells: DataFrame, points: DataFrame, k: int, bucket: float) -> DataFrame:
+    """Ranked candidates of each point from its own and the neighbouring buckets, and whether they are surely the nearest."""
+    turns = math.ceil(360 / bucket)
     own = cells.select("grid_index", "lat", "lon", F.floor(F.col("lat") / bucket).alias("_by"), F.pmod(F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / bucket), F.lit(turns)).alias("_bx"))
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-ring, ring + 1) for b in range(-ring, ring + 1)))
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     asked = points.select("point_id", "plat", "plon", F.inline(steps))
     asked = asked.select("point_id", "plat", "plon", (F.floor(F.col("plat") / bucket) + F.col("a")).alias("_by"), F.pmod(F.floor(F.pmod(F.col("plon"), F.lit(360.0)) / bucket) + F.col("b"), F.lit(turns)).alias("_bx")).distinct()
     score = distance_score(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
     near = asked.join(own, ["_by", "_bx"]).select("point_id", "plat", "plon", "grid_index", "lat", "lon", score.alias("score"))
     ranked = near.withColumn("rank", F.row_number().over(Win.partitionBy("point_id").orderBy("score", "grid_index"))).where(F.col("rank") <= k)
-    whole = F.pow(ring * bucket * F.greatest(F.abs(F.cos(F.radians("plat"))), F.lit(0.2)), 2.0)
+    whole = F.pow(bucket * F.greatest(F.abs(F.cos(F.radians("plat"))), F.lit(0.2)), 2.0)
     return ranked.withColumn("complete", (F.max("rank").over(Win.partitionBy("point_id")) == k) & (F.max("score").over(Win.partitionBy("point_id")) <= whole))
 
 
@@ -29,13 +30,13 @@ def k_nearest(cells: DataFrame, points: DataFrame, k: int, bucket: float = 1.0)
     """(point_id, plat, plon, grid_index, lat, lon, score, rank): the k nearest cells of each point.
 
     Ties go to the lesser grid_index. Points look in neighbouring buckets first;
-    those whose k-th cell may lie beyond look in twice as many, until a whole
-    turn is covered, so the result is exact for cells of any spacing.
+    those whose k-th cell may lie beyond look again in buckets twice as wide,
+    until these cover the globe, so the result is exact for cells of any spacing.
     """
-    ring, out = 1, None
+    out = None
     while True:
-        found = _probe(cells, points, k, bucket, ring)
-        last = ring * bucket >= 180
+        found = durable(_probe(cells, points, k, bucket))
+        last = bucket >= 180
         done = found if last else found.where("complete")
         out = done if out is None else out.unionByName(done)
         if last:
@@ -43,7 +44,7 @@ def k_nearest(cells: DataFrame, points: DataFrame, k: int, bucket: float = 1.0)
         points = points.join(found.where("complete").select("point_id").distinct(), "point_id", "left_anti")
         if points.isEmpty():
             break
-        ring = min(2 * ring, math.ceil(180 / bucket))
+        bucket = min(2 * bucket, 180.0) if bucket < 90 else 180.0
     return out.drop("complete")
 
 
