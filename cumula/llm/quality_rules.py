@@ -9,8 +9,9 @@ from cumula.llm.common import durable
 
 #: Buckets of the n-gram hash: the size of the only table that is broadcast.
 BUCKETS = 1 << 16
-#: Pseudo-count of each bucket, and the least mean log ratio a document may have.
-SMOOTHING, THRESHOLD = 1.0, -0.15
+#: Weight of the raw multinomial as prior of the trusted one, in n-grams: little trusted text says little.
+#: The least mean log ratio a document may have.
+PRIOR, THRESHOLD = 4.0 * BUCKETS, -0.15
 SPACES, SYMBOLS, WINDOW = " \t\n\u000b\f\r", "#*$%&|<>", 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
@@ -33,7 +34,7 @@ def ratio_table(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     ``docs`` is (doc_id, text), ``trusted`` a table of distinct doc_id. The raw
     multinomial counts every document, the trusted one those named. Without any
-    trusted text all ratios are about even.
+    trusted text all ratios are 0.
     """
     marked = docs.join(trusted.withColumn("_t", F.lit(1)).hint("merge"), "doc_id", "left")  # labels grow with the documents
     hashed = marked.select("_t", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
@@ -41,8 +42,8 @@ def ratio_table(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_t").alias("target"))
     spread = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
     one = spread.agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"), F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("b"))
-    fill = SMOOTHING * BUCKETS
-    ratio = lambda x: F.when(F.col("targets") > 0, F.ln((x["target"] + SMOOTHING) / (F.col("targets") + fill)) - F.ln((x["raw"] + SMOOTHING) / (F.col("raws") + fill))).otherwise(0.0)
+    share = lambda x: (x["raw"] + 1.0) / (F.col("raws") + BUCKETS)
+    ratio = lambda x: F.ln((x["target"] + PRIOR * share(x)) / (F.col("targets") + PRIOR) / share(x))
     return durable(one.select(F.lit(1).alias("one"), F.transform("b", ratio).alias("log_ratios")))
 
 
