@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cumula.llm.common import durable, shuffle_width
+from cumula.llm.common import durable
 
 #: Least characters of a line that takes part, the edit bound, and the segments of a line at the second level.
 MIN_CHARS, BOUND, SEGMENTS = 10, 1, 16
@@ -135,7 +135,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     earliest of them stands for all; a line that equals another's variant is one
     insertion away. So nothing is paired with everything in its group.
     """
-    dealt = docs.repartition(shuffle_width(docs.sparkSession), "doc_id")
+    dealt = docs.where("doc_id is not null")  # the same scan and shuffle as that of the final join
     lines = _lines(docs, min_chars)
     rank = F.struct("doc_id", "th", "line")
     distinct = durable(lines.groupBy("h", "g").agg(F.min(rank).alias("f"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("k").alias("k")).select("h", "g", "f.*", "copies", "n", "k"))
@@ -147,7 +147,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     shared = keys.groupBy("key").count().where("count > 1").select("key")
     near = distinct.join(keys.join(shared, "key", "left_semi").select("h").distinct(), "h", "left_semi")
     wanted = near.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "h", "g", "n")).alias("w"))
-    found = dealt.join(wanted, ["doc_id", "th"]).select("doc_id", "th", F.split(F.coalesce("text", F.lit("")), "\n").alias("all"), F.explode("w").alias("w"))
+    found = dealt.join(wanted.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", F.split(F.coalesce("text", F.lit("")), "\n").alias("all"), F.explode("w").alias("w"))
     texts = durable(found.select("doc_id", "th", "w.*", F.btrim(F.get("all", F.col("w.line")), F.lit(SPACES)).alias("s")).dropDuplicates(["h", "g"]))
 
     second = _second_level(texts)
@@ -170,8 +170,8 @@ def _cut(docs: DataFrame, min_chars: int) -> DataFrame:
     """``row``, text (cut), n_lines, n_removed and emptied for (row, doc_id, text)."""
     view = docs.withColumn("th", F.xxhash64("text"))
     gone = removed_lines(view.select("doc_id", "text", "th"), min_chars).groupBy("doc_id", "th").agg(F.collect_list("line").alias("gone"))
-    dealt = view.repartition(shuffle_width(docs.sparkSession), "doc_id")
-    lines = dealt.join(gone, ["doc_id", "th"], "left").withColumn("all", F.split("text", "\n"))
+    joined = view.where("doc_id is not null").join(gone.hint("merge"), ["doc_id", "th"], "left")
+    lines = joined.unionByName(view.where("doc_id is null").withColumn("gone", F.lit(None).cast("array<int>"))).withColumn("all", F.split("text", "\n"))
     left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("all") - 1), "gone"))
     lost = F.col("gone").isNotNull()
     cut = lines.withColumn("cut", F.when(lost, F.array_join(F.transform(left, lambda i: F.get("all", i)), "\n")).otherwise(F.col("text")))
