@@ -16,7 +16,7 @@ from cumula.llm.byte_bpe import byte_bpe, parts
 from cumula.llm.common import texts
 
 #: Documents and frequencies of a block, pre-tokens a worker remembers, and the bits of a frequency.
-BLOCK_DOCS, BLOCK_ENTRIES, MEMO, FREQ_BITS = 1 << 14, 3_000_000, 300_000, 17
+BLOCK_DOCS, BLOCK_ENTRIES, MEMO, FREQ_BITS = 1 << 14, 3_000_000, 500_000, 17
 HELD_BLOCKS = 256
 MOST = (1 << FREQ_BITS) - 1
 
@@ -41,11 +41,26 @@ class _Vocabulary:
         return found
 
 
+_VOCABULARIES: dict[str, _Vocabulary] = {}
+
+
+def _vocabulary(path: str) -> _Vocabulary:
+    """The worker's vocabulary, begun anew where it has grown too large."""
+    v = _VOCABULARIES.get(path)
+    if v is None or len(v.words) > MEMO:
+        v = _VOCABULARIES[path] = _Vocabulary(path)
+    return v
+
+
 def _blocks(path: str):
-    """Frequencies of documents as rows (key, pretoken, block, entries) and one header row for each block."""
+    """Frequencies of documents as rows (key, pretoken, block, entries) and one header row for each block.
+
+    Numbers travel as packed bytes: a list column costs the Arrow writer a pass
+    over its batch for every row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, v = TaskContext.get().partitionId() << 32, _Vocabulary(path)
+        block, v = TaskContext.get().partitionId() << 32, _vocabulary(path)
         ids, sizes, words, freqs, docs, held = [], [], [], [], [], 0
         for b in batches:
             for d, t in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
@@ -70,22 +85,33 @@ def _blocks(path: str):
                     yield from _rows(block, v, ids, sizes, words, docs, freqs)
                     block += 1
                     ids, sizes, words, freqs, docs, held = [], [], [], [], [], 0
-                    if len(v.words) > MEMO:
-                        v = _Vocabulary(path)
+                    v = _vocabulary(path)
         if ids:
             yield from _rows(block, v, ids, sizes, words, docs, freqs)
 
     return run
 
 
-def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+def _pack(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Slices of an array as bytes."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _unpack(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of packed bytes, and how many each row has."""
+    column = column.cast(pa.binary())
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[at[0] : at[-1]].tobytes() if data is not None else b""
+    return np.frombuffer(values, kind), np.diff(at) // np.dtype(kind).itemsize
 
 
 def _rows(block: int, v: _Vocabulary, ids: list, sizes: list, words: list, docs: list, freqs: list) -> Iterator[pa.RecordBatch]:
     names = ["key", "pretoken", "block", "entries", "ids", "sizes"]
-    none = pa.nulls(1, pa.string())
-    yield pa.RecordBatch.from_arrays([pa.array([f"\0{block}"]), none, pa.array([block], pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64()))], names=names)
+    own = np.array([0 if d is None else d for d in ids], np.int64).tobytes()
+    marked = (np.array(sizes, np.int64) << 1 | np.array([d is None for d in ids], np.int64)).tobytes()  # last bit: no id
+    yield pa.RecordBatch.from_arrays([pa.array([f"\0{block}"]), pa.nulls(1, pa.string()), pa.array([block], pa.int64()), pa.nulls(1, pa.binary()), pa.array([own], pa.binary()), pa.array([marked], pa.binary())], names=names)
     key, freq = np.concatenate(words) << 14 | np.concatenate(docs), np.concatenate(freqs)
     if not len(key):
         return
@@ -106,7 +132,7 @@ def _rows(block: int, v: _Vocabulary, ids: list, sizes: list, words: list, docs:
         s = start[k : k + 20_000]
         own, e = pa.array([v.words[w] for w in word[s]], pa.string()), bounds[k : k + len(s) + 1]
         n = len(s)
-        yield pa.RecordBatch.from_arrays([own, own, pa.array(np.full(n, block), pa.int64()), _lists(entry[e[0] : e[-1]], e - e[0], pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+        yield pa.RecordBatch.from_arrays([own, own, pa.array(np.full(n, block), pa.int64()), _pack(entry[e[0] : e[-1]], e - e[0]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
 
 
 def _counted(path: str):
@@ -119,7 +145,7 @@ def _counted(path: str):
         def flush() -> Iterator[pa.RecordBatch]:
             for block, own in sums.items():
                 docs = np.flatnonzero(own)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([docs], pa.list_(pa.int32())), pa.array([own[docs]], pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([docs.astype(np.int32).tobytes()], pa.binary()), pa.array([own[docs].tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], names=names)
             sums.clear()
 
         for b in batches:
@@ -127,7 +153,7 @@ def _counted(path: str):
             heads = b.filter(head)
             if len(heads):
                 n = len(heads)
-                yield pa.RecordBatch.from_arrays([heads.column("block"), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64())), heads.column("ids"), heads.column("sizes")], names=names)
+                yield pa.RecordBatch.from_arrays([heads.column("block"), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), heads.column("ids"), heads.column("sizes")], names=names)
             b = b.filter(pa.compute.invert(head))
             if not len(b):
                 continue
@@ -137,8 +163,8 @@ def _counted(path: str):
             made = ([last[1]] if known else []) + [len(x) for x in bpe.ids(words[known:])]
             last = words[-1], made[-1]
             n = np.array(made, np.int64)[code.indices.to_numpy()]
-            lists = b.column("entries")
-            entry, width = lists.flatten().to_numpy().astype(np.int64), lists.value_lengths().to_numpy()
+            entry, width = _unpack(b.column("entries"), np.int32)
+            entry = entry.astype(np.int64)
             weight = np.repeat(n, width) * (entry & MOST)
             blocks, which = np.unique(b.column("block").to_numpy(), return_inverse=True)
             total = np.bincount(np.repeat(which, width) * BLOCK_DOCS + (entry >> FREQ_BITS), weight, len(blocks) * BLOCK_DOCS).astype(np.int64).reshape(-1, BLOCK_DOCS)
@@ -155,14 +181,14 @@ def _counted(path: str):
 
 
 def _summed(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    heads = group.filter(pa.compute.is_valid(group.column("ids")))
-    ids, sizes = heads.column("ids").combine_chunks().flatten(), heads.column("sizes").combine_chunks().flatten()
-    rest = group.filter(pa.compute.is_null(group.column("ids")))
+    heads = group.filter(pa.compute.is_valid(group.column("ids"))).combine_chunks()
+    ids, marked = (_unpack(heads.column(c).combine_chunks(), np.int64)[0] for c in ("ids", "sizes"))
+    rest = group.filter(pa.compute.is_null(group.column("ids"))).combine_chunks()
     total = np.zeros(len(ids), np.int64)
     if len(rest):
-        docs, sums = rest.column("docs").combine_chunks().flatten().to_numpy(), rest.column("sums").combine_chunks().flatten().to_numpy()
+        docs, sums = (_unpack(rest.column(c).combine_chunks(), k)[0] for c, k in (("docs", np.int32), ("sums", np.int64)))
         np.add.at(total, docs, sums)
-    return pa.table({"doc_id": ids, "n_bytes": sizes, "n_tokens": pa.array(total)})
+    return pa.table({"doc_id": pa.array(ids, mask=(marked & 1).astype(bool)), "n_bytes": pa.array(marked >> 1), "n_tokens": pa.array(total)})
 
 
 def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -178,7 +204,7 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     should be a scan or a checkpoint, which a lost task reads alike again.
     """
     view = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = view.mapInArrow(_blocks(tokenizer), "key string, pretoken string, block long, entries array<int>, ids array<long>, sizes array<long>")
+    rows = view.mapInArrow(_blocks(tokenizer), "key string, pretoken string, block long, entries binary, ids binary, sizes binary")
     dealt = rows.repartition("key").sortWithinPartitions("key").drop("key")
-    partial = dealt.mapInArrow(_counted(tokenizer), "block long, docs array<int>, sums array<long>, ids array<long>, sizes array<long>")
+    partial = dealt.mapInArrow(_counted(tokenizer), "block long, docs binary, sums binary, ids binary, sizes binary")
     return partial.groupBy("block").applyInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
