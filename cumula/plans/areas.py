@@ -266,7 +266,7 @@ def nearest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCORE = "(lat - plat) ** 2 + ((lon - plon) * greatest(abs(cos(radians(plat))), 0.2)) ** 2"
-#: All cells within 1.2 degrees: at least the nearest 4 of a grid of 0.25 x 0.5 degrees.
+#: Every cell ranked for every point.
 NEAR_SQL = (
     A.CELLS_SQL
     + ","
@@ -274,7 +274,7 @@ NEAR_SQL = (
     + f""",
 places as (select distinct grid_index, lat, lon from cells),
 near as (select point_id, grid_index, {_SCORE} as score, row_number() over (partition by point_id order by {_SCORE}, grid_index) as rank
-         from points join places on lat between plat - 1.2 and plat + 1.2 and lon between plon - 1.2 and plon + 1.2)
+         from points join places on true)
 """
 )
 NEAREST_SAMPLE_SQL = f"with {NEAR_SQL} select run, point_id, grid_index, round(value, 6) as value from near join cells using (grid_index) where rank = 1 and fhr = 4"
@@ -319,7 +319,7 @@ with {A.CELLS_SQL},
 rt as (select n_nationkey::bigint as route_id, seq::int as seq, 26.03::double + n_nationkey * 7 % 8 as lat0, -123.07::double + n_nationkey * 5 % 27 as lon0 from nation, (select unnest(range(9)) as seq)),
 pt as (select *, lat0 + seq / 8 * (29.92::double - lat0) as plat, lon0 + seq / 8 * (-110.21::double - lon0) as plon from rt),
 places as (select distinct grid_index, lat, lon from cells),
-near as (select route_id, seq, grid_index, {_SCORE} as score, row_number() over (partition by route_id, seq order by {_SCORE}, grid_index) as rank from pt join places on lat between plat - 1.2 and plat + 1.2 and lon between plon - 1.2 and plon + 1.2)
+near as (select route_id, seq, grid_index, {_SCORE} as score, row_number() over (partition by route_id, seq order by {_SCORE}, grid_index) as rank from pt join places on true)
 select run, near.route_id, near.seq, round(sum(value / score) / nullif(sum(1 / score) filter (where value is not null), 0), 6) as value,
   round(any_value(2 * 6371.0088::double * asin(sqrt(sin(radians(plat - lat0) / 2) ** 2 + cos(radians(plat)) * cos(radians(lat0)) * sin(radians(plon - lon0) / 2) ** 2))), 6) as distance_km
 from near join cells using (grid_index) join pt on pt.route_id = near.route_id and pt.seq = near.seq where rank <= 4 and fhr = 1 group by 1, 2, 3
@@ -344,7 +344,7 @@ pt as (select area_id, r as row, c as col, south + r / 7 * (north - south) as pl
 par as (select area_id, row, col, ring, count(*) % 2 as odd from pt join edges on area_id = poly_id and (y1 > plat) <> (y0 > plat) and plon < (x0 - x1) * (plat - y1) / (y0 - y1) + x1 group by 1, 2, 3, 4),
 ins as (select area_id, row, col from par group by 1, 2, 3 having coalesce(max(odd) filter (where ring = 0), 0) = 1 and coalesce(max(odd) filter (where ring = 1), 0) = 0),
 places as (select distinct grid_index, lat, lon from cells),
-near as (select area_id, row, col, grid_index, row_number() over (partition by area_id, row, col order by {_SCORE}, grid_index) as rank from pt join places on lat between plat - 1.5 and plat + 1.5 and lon between plon - 1.5 and plon + 1.5)
+near as (select area_id, row, col, grid_index, row_number() over (partition by area_id, row, col order by {_SCORE}, grid_index) as rank from pt join places on true)
 select area_id, row, col, round(case when (area_id, row, col) in (select (area_id, row, col) from ins) then value end, 6) as value from near join cells using (grid_index) where rank = 1 and fhr = 2 and run = 0
 """
 

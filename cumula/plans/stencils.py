@@ -156,7 +156,7 @@ SECTION_SQL = (
     + ROUTE_SQL
     + f""",
 places as (select distinct grid_index, lat, lon from levels where run = 0),
-near as (select route_id, seq, grid_index, {_SCORE} as score, row_number() over (partition by route_id, seq order by {_SCORE}, grid_index) as rank from route join places on lat between plat - 1.5 and plat + 1.5 and lon between plon - 1.5 and plon + 1.5),
+near as (select route_id, seq, grid_index, {_SCORE} as score, row_number() over (partition by route_id, seq order by {_SCORE}, grid_index) as rank from route join places on true),
 sec as (select route_id, near.seq, k, {", ".join(f"sum({n} / score) / nullif(sum(1 / score) filter (where {n} is not null), 0) as {n}" for n in ("p_hpa", "t_c", "q", "u", "v"))} from near join levels using (grid_index) where rank <= 4 and run = 0 group by 1, 2, 3)
 """
 )
