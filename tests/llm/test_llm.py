@@ -165,6 +165,39 @@ def test_simhash_chunks_and_long_chains(spark):
     assert simhash.links(nodes.limit(0)).count() == 0
 
 
+def test_near_copy_stage_equals_brute_force(spark, sf, docs, odd):
+    """Pairs at Jaccard 0.8 to 0.9 lie beyond op7's 3 bits; texts just below 0.8 stay."""
+    rng = np.random.default_rng(5)
+    planted = []
+    for k in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        near, far = list(words), list(words)
+        for at in (40, 90, 140):
+            near[at] = "changed"
+        for at in (30, 70, 110, 150, 190):
+            far[at] = f"other{at}"
+        planted += [(20_000 + 10 * k, " ".join(words)), (20_001 + 10 * k, " ".join(near)), (20_002 + 10 * k, " ".join(far))]
+    both = docs.select("doc_id", "text").union(odd.where("doc_id is not null").select(F.col("doc_id") + 10_000, "text")).union(spark.createDataFrame(planted, "doc_id long, text string"))
+    rows = both.collect()
+    sets = []
+    for r in rows:
+        w = (r.text or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    label = np.array([r.doc_id for r in rows])
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    while True:
+        new = label.copy()
+        for i, j in near:
+            new[i] = new[j] = min(new[i], new[j])
+        if (new == label).all():
+            break
+        label = new
+    out = corpus_pipeline.drop_near_duplicates(spark, both, sf)
+    kept = {r.doc_id for r in out.collect()}
+    assert kept == set(label.tolist())
+    assert not any(20_001 + 10 * k in kept for k in range(30)) and all(20_002 + 10 * k in kept for k in range(30))
+
+
 def brute_base(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     c = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
