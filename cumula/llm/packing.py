@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Units of a sequence, and pieces that are packed against each other at once.
+from cumula.llm.common import durable
+
+#: Units of a sequence, and pieces that are packed against each other at once, on average.
 CAPACITY, BLOCK_PIECES = 8192, 4096
 
 
@@ -62,26 +63,31 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int =
     return bins, offsets
 
 
-def _pack_block(block: list[tuple], name: str, capacity: int) -> pa.RecordBatch:
-    bins, offsets = best_fit([r[3] - r[2] for r in block], [r[4] for r in block], [r[5] for r in block], capacity)
-    room = Counter()
-    for b, r in zip(bins, block, strict=True):
-        room[b] += r[3] - r[2]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([r[0] for r in block], pa.int64()),
-            pa.array([r[1] for r in block], pa.int32()),
-            pa.array([f"{name}-{b}" for b in bins], pa.string()),
-            pa.array(offsets, pa.int64()),
-            pa.array([r[2] for r in block], pa.int64()),
-            pa.array([r[3] for r in block], pa.int64()),
-            pa.array([room[b] for b in bins], pa.int64()),
-        ],
-        names=["doc_id", "piece", "bin_id", "bin_offset", "unit_begin", "unit_end", "bin_units"],
-    )
+PACKED = "doc_id long, piece int, bin_id string, bin_offset long, unit_begin long, unit_end long, bin_units long"
 
 
-PACKED = "doc_id long, piece int, bin_id string, bin_offset long, unit_begin long, unit_end long, bin_units long"
+def _pack_block(capacity: int):
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        # Equal keys belong to interchangeable rows, so the order does not depend on how the block came together.
+        group = group.sort_by([(c, "ascending") for c in ("units", "doc_id", "piece", "source", "cluster", "unit_begin", "copy")])
+        length = group.column("units").to_pylist()
+        bins, offsets = best_fit(length, group.column("source").to_pylist(), group.column("cluster").to_pylist(), capacity)
+        room = Counter()
+        for b, n in zip(bins, length, strict=True):
+            room[b] += n
+        return pa.table(
+            {
+                "doc_id": group.column("doc_id"),
+                "piece": group.column("piece"),
+                "bin_id": pa.array([f"{key[0].as_py()}-{b}" for b in bins], pa.string()),
+                "bin_offset": pa.array(offsets, pa.int64()),
+                "unit_begin": group.column("unit_begin"),
+                "unit_end": pc.add(group.column("unit_begin"), group.column("units")),
+                "bin_units": pa.array([room[b] for b in bins], pa.int64()),
+            }
+        )
+
+    return run
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES, length: Column | None = None, cluster: Column | None = None) -> DataFrame:
@@ -90,31 +96,35 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PI
     A document longer than ``capacity`` is cut there; whole cuts fill a bin
     each, the rest is packed like a short document. No bin holds two pieces of
     one source or one duplicate cluster (``text_cluster`` by default), and none
-    exceeds the capacity. Every partition packs its rows in blocks of
-    ``block_pieces``, so nothing is shuffled and a task holds one block; the
-    names of bins come from partition and block and stay the same when a lost
-    task runs again over the same input split. Empty and null texts are one
-    piece of the end token; rows without an id, repeated rows and ties are
-    packed as they come; an empty table gives an empty result.
+    exceeds the capacity. Short rows without texts are counted by their content
+    and dealt by a hash of it, the copy's number and the piece into blocks of
+    about ``block_pieces``, so every block mixes all sources, a task holds one
+    block, and neither file layout nor partition count changes the result.
+    Empty and null texts are one piece of the end token; an empty table gives an
+    empty result.
     """
     text = F.col("text").cast("string")
     view = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        (byte_length(text) if length is None else length).cast("long").alias("units"),
+        F.greatest((byte_length(text) if length is None else length).cast("long"), F.lit(1)).alias("total"),
         F.col("source").cast("string").alias("source"),
         (text_cluster(text) if cluster is None else cluster).cast("long").alias("cluster"),
     )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, blocks, block = TaskContext.get().partitionId(), 0, []
-        for b in batches:
-            for d, units, s, c in zip(*(b.column(x).to_pylist() for x in ("doc_id", "units", "source", "cluster")), strict=True):
-                for piece, at in enumerate(range(0, max(units, 1), capacity)):
-                    block.append((d, piece, at, min(max(units, 1), at + capacity), s, c))
-                    if len(block) == block_pieces:
-                        yield _pack_block(block, f"{part}-{blocks}", capacity)
-                        blocks, block = blocks + 1, []
-        if block:
-            yield _pack_block(block, f"{part}-{blocks}", capacity)
-
-    return view.mapInArrow(run, PACKED)
+    # Repeated rows are folded before they move and unfolded with a number each, so that they spread over the blocks.
+    short = durable(view.groupBy("doc_id", "total", "source", "cluster").agg(F.count("*").alias("copies")))
+    pieces = F.floor((F.col("total") + F.lit(capacity - 1)) / F.lit(capacity)).cast("long")
+    count = short.agg(F.sum(F.col("copies") * pieces)).first()[0] or 0
+    blocks = max(1, -(-count // block_pieces))
+    each = short.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    begin = F.col("piece") * capacity
+    dealt = each.select(
+        F.pmod(F.xxhash64("doc_id", "total", "source", "cluster", "copy", "piece"), F.lit(blocks)).alias("block"),
+        "doc_id",
+        F.col("piece").cast("int").alias("piece"),
+        begin.alias("unit_begin"),
+        F.least(F.col("total") - begin, F.lit(capacity)).cast("long").alias("units"),
+        "source",
+        "cluster",
+        "copy",
+    )
+    return dealt.groupBy("block").applyInArrow(_pack_block(capacity), PACKED)

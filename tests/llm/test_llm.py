@@ -282,6 +282,19 @@ def test_packing_rules(docs, odd):
     assert packing.pack(both.limit(0)).count() == 0
 
 
+def test_packing_of_input_laid_out_by_source(spark):
+    """A partition a source, one row repeated a hundred times, one long text: same bins at every layout, and full ones."""
+    rows = [(1000 * s + k, "x" * (500 + 37 * k), f"source{s}") for s in range(20) for k in range(40)] + [(7, "y" * 300, "hot")] * 100 + [(8, "z" * 30_000, "long")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    laid, one = df.repartitionByRange(21, "source"), df.coalesce(1)
+    cluster = F.col("doc_id")
+    got = [sorted(tuple(r) for r in packing.pack(x, block_pieces=300, cluster=cluster).collect()) for x in (laid, one)]
+    assert got[0] == got[1] and len(got[0]) == 20 * 40 + 100 + 4
+    bins = {r[2]: r[6] for r in got[0]}
+    assert len(bins) < 300  # one bin a piece would be 904; the repeated row needs 100
+    assert max(sum(r[2] == b for r in got[0] if r[0] == 7) for b in bins) == 1
+
+
 def test_best_fit_equals_plain_search():
     rng = np.random.default_rng(3)
     lengths, sources, clusters = [int(x) for x in rng.integers(1, 60, 300)], [int(x) for x in rng.integers(0, 5, 300)], [int(x) for x in rng.integers(0, 200, 300)]
