@@ -20,6 +20,8 @@ from cumula.sources import sinks as O
 
 # Channels of the two presets by their names here.
 PRESETS = {"mesoconvective": ("t_c", "td_c", "u", "v", "rh", "q"), "surface": ("t_c", "rh")}
+#: Records of one JSON row at most: catalogues and manifests are written in blocks, whatever the size of their group.
+BLOCK_RECORDS = 1000
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -39,12 +41,13 @@ REPORTS_CSV_SQL = f"with {A.REPORTS_SQL} select 'r' || report_id::varchar as rep
 
 
 def poi_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points written as JSON catalogues by nation, scanned and filtered to bounds."""
+    """Points written as JSON catalogues by nation and block of ids, scanned and filtered to bounds."""
     from cumula.operators.filters import in_bounds
 
     p = A.points(spark, sf_dir).join(A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), "c_name", "c_nationkey", "c_mktsegment"), "point_id")
     items = F.collect_list(F.struct(F.col("point_id").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"), F.col("plat").alias("lat"), F.col("plon").alias("lon")))
-    p.groupBy("c_nationkey").agg(items.alias("items")).select("items").write.json(path := _folder(spark, "pois"))
+    block = F.floor(F.col("point_id") / BLOCK_RECORDS)
+    p.groupBy("c_nationkey", block.alias("block")).agg(items.alias("items")).select("items").write.json(path := _folder(spark, "pois"))
     got = I.scan_pois(spark, path).where(in_bounds(F.col("lat"), F.col("lon"), -120, -100, 26, 33))
     return _r(got.select("id", "name", "kind", "lat", "lon", X.short_label(F.lit(""), F.col("name")).alias("label")))
 
@@ -53,12 +56,13 @@ POI_JSON_SQL = f"with {A.POINTS_SQL} select point_id::varchar as id, c_name as n
 
 
 def run_reports_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run records written as JSON of two kinds and scanned into one schema."""
+    """Run records written as JSON of two kinds, in blocks of keys, and scanned into one schema."""
     a = A.artifacts(spark, sf_dir, "l")
     rec = F.collect_list(F.struct("artifact_key", "lane", "state", "detail", "sha256", "timing_ms"))
+    by = [F.col("state").alias("run_id"), F.floor(F.substring("artifact_key", 5, 20).cast("long") / BLOCK_RECORDS).alias("block")]
     path = _folder(spark, "runs")
-    a.where("lane <> 'direct'").groupBy(F.col("state").alias("run_id")).agg(rec.alias("artifacts")).withColumn("kind", F.lit("manifest")).write.json(path)
-    a.where("lane = 'direct'").groupBy(F.col("state").alias("run_id")).agg(rec.alias("artifacts")).withColumn("kind", F.lit("batch")).withColumn("host", F.lit("x")).write.mode("append").json(path)
+    a.where("lane <> 'direct'").groupBy(*by).agg(rec.alias("artifacts")).drop("block").withColumn("kind", F.lit("manifest")).write.json(path)
+    a.where("lane = 'direct'").groupBy(*by).agg(rec.alias("artifacts")).drop("block").withColumn("kind", F.lit("batch")).withColumn("host", F.lit("x")).write.mode("append").json(path)
     return I.scan_run_reports(spark, path).groupBy("run_id", "kind", "lane").agg(F.count("*").alias("n"), F.sum("timing_ms").alias("ms"))
 
 

@@ -40,6 +40,17 @@ def test_query_without_sql_runs(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
 
 
+@pytest.mark.parametrize(("name", "records"), [("poi_json", "items"), ("run_reports_json", "artifacts")])
+def test_written_json_rows_are_bounded(spark, sf, tmp_path, monkeypatch, name, records):
+    from cumula.plans import files
+
+    monkeypatch.setattr(files, "BLOCK_RECORDS", 3, raising=False)
+    monkeypatch.setattr(files, "_folder", lambda spark, name: str(tmp_path / name))
+    assert registry.QUERIES[name](spark, sf).count() > 0
+    (written,) = tmp_path.iterdir()
+    assert spark.read.json(str(written)).selectExpr(f"max(size({records}))").first()[0] <= 3
+
+
 def test_entry_runs_without_training_data_operators():
     import __spark_entry__ as e
 
