@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,18 +26,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == HELD_OUT_FOLD, F.lit(False))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's checkpoint folder, which outlives executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors and the driver share, and that outlives executors.
 
-    ``spark.checkpoint.dir`` names the shared folder; a private folder is used
-    only where a session (a test) has none.
+    ``spark.checkpoint.dir`` names it, else the context's checkpoint folder. A
+    session on one machine (a test) that has neither gets a private folder; a
+    cluster without one is an error.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cumula-checkpoint-"))
+    context = spark.sparkContext
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="cumula-checkpoint-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder, whose true size the planner sees (for loops of joins)."""
+    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

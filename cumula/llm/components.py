@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cumula.llm.common import durable
+from cumula.llm.common import written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node that has an edge; root is the least node reachable.
 
     ``edges`` has two comparable columns u and v. Each round contracts stars
-    (large, then small) and goes through the checkpoint folder; the edge count
+    (large, then small) and is a table in the shared folder; the edge count
     never grows, and the rounds are logarithmic in the longest path. Self loops
     and repeated edges are ignored, an empty table gives an empty result.
     """
-    current = durable(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    current = written(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     size, mark = None, None
     for _ in range(max_rounds):
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         mark = tuple(now)
         wide = _star(_both(current), larger=True)
-        current = durable(_star(_both(wide), larger=False))
+        current = written(_star(_both(wide), larger=False))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("u").alias("node"), F.col("v").alias("root"))

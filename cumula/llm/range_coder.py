@@ -2,13 +2,19 @@
 
 Every block of ids starts from the same state and ends with its own checksum, so
 blocks can be coded side by side: each step codes one id of all blocks with
-numpy. An id is predicted by the id that last followed its two predecessors
-(order 2) and the id that last followed its predecessor (order 1). One symbol
-says which prediction holds, if any. The chance of the order-2 prediction mixes
-two adaptive probabilities, one by that prediction's past alone and one that
-also knows the order-1 prediction; the mixing weight adapts. An id that neither
-predicts has its high byte coded by adaptive frequencies (order 0), in two
-halves of four bits; its low byte is stored as it is beside the coded words.
+numpy. Three predictions are mixed into one distribution of the next id:
+
+* order 2: the last four followers of the two ids before, by their counts,
+* order 1: the last four followers of the id before, by their counts,
+* order 0: counts of the ids that these did not foretell.
+
+A follower's share is weight2 * share among the order-2 followers + weight1 *
+share among the order-1 followers; what is left over codes an id by order 0. The
+weights depend on how often both contexts were seen and adapt in each block:
+after every id they move towards the part each order had in coding it. A payload
+starts with the ids it holds, the commonest first; order 0 starts from counts
+that fall with an id's place there, and takes up a block's own ids at steps 16,
+32, 64 and so on, and from 256 on every 256 steps.
 """
 
 from __future__ import annotations
@@ -18,77 +24,139 @@ from zlib import crc32
 
 import numpy as np
 
-#: Ids in a block; slots of the prediction tables; bits of a probability; steps between updates of order 0; the mark.
-BLOCK, SLOTS, BITS, EVERY, MAGIC = 2048, 2048, 12, 4, b"CMR1"
-TOP, HEAD = 1 << BITS, struct.Struct("<4sIIII")
+#: Ids in a block at most and at least, blocks to be coded side by side, and the most numbers that order 0 may hold.
+BLOCK, LEAST_BLOCK, LANES, ROOM, MAGIC = 8192, 2048, 1024, 1 << 25, b"CMR3"
+FRONT, HEAD = struct.Struct("<4sIII"), struct.Struct("<4sIII")
 FULL, LEAST, WORD = 1 << 48, 1 << 32, 16
-NODES = 17  # one for the high four bits, one for the low four under each of them
+#: Scale of a mixed distribution; followers of a context; slots of the two context tables; speed of the weights.
+TOTAL, KEPT, SLOTS1, SLOTS2, SPEED = 1 << 16, 4, 2048, 4096, 5
+#: What an id adds to its order-0 count, the sum of all counts at the start, and the most steps between two updates.
+STEP, START, EVERY = 32, 1 << 14, 256
+#: A context's class by the sum of its counts.
+_CLASS = np.searchsorted([1, 2, 4, 7, 12, 24, 60], np.arange(1021), "right").astype(np.int64)
+#: By which follower is hit (bit k of the index; none: the oldest goes): the parts of a slot that move up and that stay, and where its count lies.
+_HIT = [next((k for k in range(KEPT) if code >> k & 1), KEPT - 1) for code in range(1 << KEPT)]
+_LOW16, _HIGH16 = (np.array([(1 << 16 * (k + more)) - 1 ^ flip for k in _HIT], np.uint64) for more, flip in ((0, 0), (1, (1 << 64) - 1)))
+_LOW8, _HIGH8 = (np.array([(1 << 8 * (k + more)) - 1 ^ flip for k in _HIT], np.uint32) for more, flip in ((0, 0), (1, (1 << 32) - 1)))
+_SHIFT, _KEEP, _ADD = np.array([8 * k for k in _HIT], np.uint32), np.array([255 * (code > 0) for code in range(1 << KEPT)], np.uint32), np.array([1 + (code > 0) for code in range(1 << KEPT)], np.uint32)
+
+
+def block_of(count: int) -> int:
+    """Ids in each block of a payload of so many ids."""
+    return min(BLOCK, max(LEAST_BLOCK, -(-count // LANES)))
+
+
+class _Counts:
+    """Order-0 counts of n blocks over places 0 to k - 1, as sums up to each place."""
+
+    def __init__(self, n: int, k: int):
+        first = START // (np.arange(k) + 8) + 1
+        self.counts = np.tile(first.astype(np.int32), (n, 1))
+        self.offset, self.k, self.new = np.arange(n, dtype=np.int64)[:, None] << 32, k, []
+        self._sum()
+
+    def _sum(self) -> None:
+        self.ends = (self.counts.cumsum(1, dtype=np.int64) + self.offset).reshape(-1)  # ascending over all blocks
+        self.total = self.ends[self.k - 1 :: self.k] & 0xFFFFFFFF
+
+    def share(self, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and width of a place in the blocks ``at``."""
+        spot = at * self.k + place
+        width = self.counts.reshape(-1).take(spot).astype(np.int64)
+        return (self.ends.take(spot) & 0xFFFFFFFF) - width, width
 
-#: Cumulative frequencies that favour one of 16 symbols and leave 32 in 4096 to each other.
-_GOALS = np.array([[32 * k + (TOP - 16 * 32) * (k > s) for k in range(17)] for s in range(16)], np.int32)
+    def find(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The place whose share holds a value."""
+        return np.minimum(np.searchsorted(self.ends, (at << 32) + value, "right") - at * self.k, self.k - 1)
+
+    def learn(self, step: int, at: np.ndarray, place: np.ndarray) -> None:
+        self.new.append(at * self.k + place)
+        step += 1
+        if step % EVERY == 0 or (step < EVERY and step >= 16 and not step & step - 1):
+            np.add.at(self.counts.reshape(-1), np.concatenate(self.new), STEP)
+            self.new = []
+            self._sum()
+
+
+class _Followers:
+    """The last followers of each slot, newest first, with their counts, in n blocks."""
+
+    def __init__(self, n: int, slots: int):
+        self.ids, self.counts = np.zeros(n * slots, np.uint64), np.zeros(n * slots, np.uint32)
+        self.rows, self.slots = np.arange(n, dtype=np.int64) * slots, slots
+
+    def look(self, mixed: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Fill ``ids`` and ``counts`` (a row for each follower) for the slots named by ``mixed``."""
+        m = len(mixed)
+        self.at = self.rows[:m] + (mixed & self.slots - 1)
+        self.p, self.c = self.ids.take(self.at), self.counts.take(self.at)
+        ids[:] = self.p.view(np.uint16).reshape(m, KEPT).T
+        counts[:] = self.c.view(np.uint8).reshape(m, KEPT).T
+
+    def learn(self, own: np.ndarray, equal: np.ndarray) -> np.ndarray:
+        """Move ``own`` to the front; the oldest follower goes where it is new. Returns its count before."""
+        e = equal.view(np.uint8)
+        code = e[0] | e[1] << 1 | e[2] << 2 | e[3] << 3
+        count = self.c >> _SHIFT.take(code) & _KEEP.take(code)
+        self.ids[self.at] = self.p & _HIGH16.take(code) | (self.p & _LOW16.take(code)) << np.uint64(16) | own
+        self.counts[self.at] = self.c & _HIGH8.take(code) | (self.c & _LOW8.take(code)) << np.uint32(8) | np.minimum(count + _ADD.take(code), 255)
+        return count
 
 
 class _Model:
-    """State of n blocks: predictions, their confidences, probabilities and frequencies."""
+    """State of n blocks."""
 
     def __init__(self, n: int):
-        self.id2, self.id1 = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)
-        self.sure2, self.sure1 = np.zeros(n * SLOTS, np.int8), np.zeros(n * SLOTS, np.int8)
-        self.alone, self.joint, self.fall = (np.full(n * k, TOP // 2, np.int32) for k in (8, 128, 8))
-        self.weight = np.full(n, 8, np.int32)
-        self.nodes = np.tile(np.arange(17, dtype=np.int32) * (TOP // 16), (n * NODES, 1))
-        self.lane = np.arange(n, dtype=np.int64)
-        self.rows, self.lane8, self.lane128 = self.lane * SLOTS, self.lane * 8, self.lane * 128
-        self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.two, self.one = _Followers(n, SLOTS2), _Followers(n, SLOTS1)
+        self.w2, self.w1 = (np.full(n * 64, TOTAL // 3, np.int32) for _ in range(2))
+        self.rows64, self.p1, self.p2 = np.arange(n, dtype=np.int64) * 64, np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def look(self, m: int) -> None:
-        """Predictions for the next id of the first m blocks, and the bounds of the three cases in 4096."""
+        """Candidates for the next id of the first m blocks and the cumulative shares of them."""
         h1 = self.p1[:m] * 2654435761
-        self.at1 = self.rows[:m] + (h1 >> 9 & SLOTS - 1)
-        self.at2 = self.rows[:m] + (h1 + self.p2[:m] * 40503 >> 11 & SLOTS - 1)
-        self.c1, self.c2 = self.id1.take(self.at1), self.id2.take(self.at2)
-        self.s1, self.s2 = self.sure1.take(self.at1), self.sure2.take(self.at2)
-        self.same = self.c1 == self.c2
-        self.a_at, self.f_at = self.lane8[:m] + self.s2, self.lane8[:m] + self.s1
-        self.j_at = self.lane128[:m] + (self.s2 * np.int16(16) + self.s1 * np.int8(2) + self.same)
-        self.pa, self.pj, self.pf, self.w = self.alone.take(self.a_at), self.joint.take(self.j_at), self.fall.take(self.f_at), self.weight[:m]
-        self.first = np.minimum(np.maximum(self.pj + ((self.pa - self.pj) * self.w >> 4), 32), TOP - 32)
-        width = (TOP - self.first) * np.minimum(np.maximum(self.pf, 128), TOP - 128) >> BITS
-        width[self.same] = 0
-        self.second = self.first + width
-
-    def learn(self, m: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        goal = hit2 * np.int32(TOP - 1)
-        da, dj = goal - self.pa, goal - self.pj
-        self.weight[:m] = np.minimum(np.maximum(self.w + np.where(np.abs(da) < np.abs(dj), 1, -1), 1), 15)
-        self.alone[self.a_at] = self.pa + (da >> 4)
-        self.joint[self.j_at] = self.pj + (dj >> 4)
-        open_ = ~(hit2 | self.same)
-        self.fall[self.f_at] = self.pf + ((hit1 * np.int32(TOP - 1) - self.pf) * open_ >> 4)
-        for table, sure, at, c, s, hit in ((self.id2, self.sure2, self.at2, self.c2, self.s2, hit2), (self.id1, self.sure1, self.at1, self.c1, self.s1, hit1)):
-            table[at] = np.where(hit | (s > 3), c, ids)
-            sure[at] = np.where(hit, np.minimum(s + np.int8(1), 7), s >> 1)
-        self.p2[:m] = self.p1[:m]
-        self.p1[:m] = ids
+        self.cand, self.n = np.empty((2 * KEPT, m), np.uint16), np.empty((2 * KEPT, m), np.int32)
+        self.two.look(h1 + self.p2[:m] * 40503 * 65599 >> 13, self.cand[:KEPT], self.n[:KEPT])
+        self.one.look(h1 >> 9, self.cand[KEPT:], self.n[KEPT:])
+        t2, t1 = self.n[:KEPT].sum(0), self.n[KEPT:].sum(0)
+        self.ctx = self.rows64[:m] + _CLASS.take(t2) * 8 + _CLASS.take(t1)
+        self.v2, self.v1 = self.w2.take(self.ctx), self.w1.take(self.ctx)
+        self.unit2, self.unit1 = self.v2 // np.maximum(t2, 1), self.v1 // np.maximum(t1, 1)
+        self.known = self.n > 0
+        self.mass = self.n
+        self.mass[:KEPT] *= self.unit2
+        self.mass[KEPT:] *= self.unit1
+        for k in range(KEPT, 2 * KEPT):  # a follower in both contexts has one share
+            twin = self.cand[:KEPT] == self.cand[k]
+            twin &= self.known[:KEPT]
+            self.mass[:KEPT] += twin * self.mass[k]
+            self.mass[k] *= ~twin.any(0)
+        self.ends = self.mass.cumsum(0, dtype=np.int32)
 
-    def learn_node(self, node: np.ndarray, symbol: np.ndarray) -> None:
-        rows = self.nodes.take(node, axis=0)
-        rows += (_GOALS.take(symbol, axis=0) - rows) >> 4
-        self.nodes[node] = rows
+    def equals(self, own: np.ndarray) -> np.ndarray:
+        self.equal = (self.cand == own.astype(np.uint16)) & self.known
+        return self.equal
+
+    def learn(self, m: int, own: np.ndarray) -> None:
+        wide = own.astype(np.uint64)
+        m2 = self.two.learn(wide, self.equal[:KEPT]) * self.unit2
+        m1 = self.one.learn(wide, self.equal[KEPT:]) * self.unit1
+        part = (TOTAL - 1024.0) / np.maximum(m2 + m1, 1)
+        self.w2[self.ctx] = self.v2 + (((m2 * part).astype(np.int32) - self.v2) >> SPEED)
+        self.w1[self.ctx] = self.v1 + (((m1 * part).astype(np.int32) - self.v1) >> SPEED)
+        self.p2[:m] = self.p1[:m]
+        self.p1[:m] = own
 
 
 class _Writer:
     def __init__(self, n: int, ids: int):
         self.low, self.range = np.zeros(n, np.int64), np.full(n, FULL - 1, np.int64)
-        self.words, self.count = np.zeros((n, ids * 9 // 4 + 8), np.int32), np.zeros(n, np.int64)
+        self.words, self.count = np.zeros((n, ids * 3 + 8), np.int32), np.zeros(n, np.int64)
 
-    def put(self, at: np.ndarray | slice, start: np.ndarray, width: np.ndarray, bits: int) -> None:
-        """Code [start, start + width) of 2 ** bits in the blocks ``at``."""
-        share = self.range[at] >> bits
-        low, rng = self.low[at] + share * start, share * width
+    def settle(self, at: np.ndarray | None, low: np.ndarray, rng: np.ndarray) -> None:
+        """Move full words out of ``low`` of the blocks ``at`` (None: the first), in place."""
         small = np.flatnonzero(rng < LEAST)
         while len(small):
-            own = small if isinstance(at, slice) else at[small]
+            own = small if at is None else at[small]
             count, left = self.count[own], low[small]
             self.words[own, count] = left >> 32  # may hold a carry, settled at the end
             self.count[own] = count + 1
@@ -96,7 +164,6 @@ class _Writer:
             grown = rng[small] << WORD
             rng[small] = grown
             small = small[grown < LEAST]
-        self.low[at], self.range[at] = low, rng
 
     def finish(self) -> list[bytes]:
         own = np.arange(len(self.low))
@@ -118,125 +185,134 @@ class _Reader:
         self.code = self.words[:, 0] << 32 | self.words[:, 1] << 16 | self.words[:, 2]
         self.range, self.at = np.full(n, FULL - 1, np.int64), np.full(n, 3, np.int64)
 
-    def ask(self, at: np.ndarray | slice, bits: int) -> np.ndarray:
-        """Place in 2 ** bits of each next symbol."""
-        self.share = self.range[at] >> bits
-        return np.minimum(self.code[at] // self.share, (1 << bits) - 1)
-
-    def take(self, at: np.ndarray | slice, start: np.ndarray, width: np.ndarray) -> None:
-        code, rng = self.code[at] - self.share * start, self.share * width
+    def settle(self, at: np.ndarray | None, code: np.ndarray, rng: np.ndarray) -> None:
+        """Take further words into ``code`` of the blocks ``at`` (None: the first), in place."""
         small = np.flatnonzero(rng < LEAST)
         while len(small):
-            own = small if isinstance(at, slice) else at[small]
+            own = small if at is None else at[small]
             place = self.at[own]
             code[small] = code[small] << WORD | self.words[own, np.minimum(place, self.words.shape[1] - 1)]
             self.at[own] = place + 1
             grown = rng[small] << WORD
             rng[small] = grown
             small = small[grown < LEAST]
-        self.code[at], self.range[at] = code, rng
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """Blocks of up to 2048 ids (below 65,536) one after another, each with its mark, counts and checksum."""
+    """The ids' own alphabet and blocks of ids (below 65,536), each with its mark, counts and checksum."""
     ids = np.ascontiguousarray(ids, np.int32)
     if not len(ids):
         return b""
     if ids.min() < 0 or ids.max() > 0xFFFF:
         raise ValueError("ids must lie in 0 to 65535")
-    n = -(-len(ids) // BLOCK)
-    last, steps = len(ids) - (n - 1) * BLOCK, min(len(ids), BLOCK)
-    table = np.zeros(n * BLOCK, np.int32)
-    table[: len(ids)] = ids
-    table = np.ascontiguousarray(table.reshape(n, BLOCK)[:, :steps].T)
-    model, out = _Model(n), _Writer(n, steps)
-    lows, low_count = np.zeros((n, steps), np.uint8), np.zeros(n, np.int64)
+    often = np.bincount(ids, minlength=1 << 16)
+    alphabet = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]
+    places = np.zeros(1 << 16, np.int32)
+    places[alphabet] = np.arange(len(alphabet))
+    packed = []
+    block = block_of(len(ids))
+    group = max(1, ROOM // len(alphabet)) * block  # so many blocks are coded side by side
+    for at in range(0, len(ids), group):
+        packed += _encode_blocks(ids[at : at + group], places, len(alphabet), block)
+    letters = alphabet.astype("<u2").tobytes()
+    return b"".join([FRONT.pack(MAGIC, block, len(alphabet), crc32(letters)), letters, *packed])
+
+
+def _encode_blocks(ids: np.ndarray, places: np.ndarray, k: int, block: int) -> list[bytes]:
+    n = -(-len(ids) // block)
+    last, steps = len(ids) - (n - 1) * block, min(len(ids), block)
+    table = np.zeros(n * block, np.int32)
+    table[: len(ids)] = places.take(ids)
+    table = np.ascontiguousarray(table.reshape(n, block)[:, :steps].T)
+    model, counts, out = _Model(n), _Counts(n, k), _Writer(n, steps)
     for t in range(steps):
         m = n if t < last else n - 1
         own = table[t, :m]
         model.look(m)
-        hit2, hit1 = own == model.c2, own == model.c1
-        begin = np.where(hit2, 0, np.where(hit1, model.first, model.second))
-        end = np.where(hit2, model.first, np.where(hit1, model.second, TOP))
-        out.put(slice(0, m), begin, end - begin, BITS)
-        miss = np.flatnonzero(~(hit2 | hit1))
-        if len(miss):
-            value = own.take(miss)
-            a, b = value >> 12, value >> 8 & 15
-            base = miss * NODES
-            node = base + 1 + a
-            sa, sb = model.nodes[base, a].astype(np.int64), model.nodes[node, b].astype(np.int64)
-            wa, wb = model.nodes[base, a + 1] - sa, model.nodes[node, b + 1] - sb
-            out.put(miss, sa * TOP + wa * sb, wa * wb, 2 * BITS)
-            place = low_count[miss]
-            lows[miss, place] = value & 255
-            low_count[miss] = place + 1
-            if t % EVERY == 0 or t < 64:
-                model.learn_node(base, a)
-                model.learn_node(node, b)
-        model.learn(m, own, hit2, hit1)
-    words = out.finish()
+        hit = model.equals(own) & (model.mass > 0)
+        any_hit, rest = hit.any(0), model.ends[-1]
+        width = (model.mass * hit).sum(0)
+        low, rng = out.low[:m], out.range[:m]
+        share = rng // TOTAL
+        low += share * np.where(any_hit, (model.ends * hit).sum(0) - width, rest)
+        rng[:] = share * np.where(any_hit, width, TOTAL - rest)
+        out.settle(None, low, rng)
+        miss = np.flatnonzero(~any_hit)
+        place = own.take(miss)
+        begin, wide = counts.share(miss, place)
+        share = rng[miss] // counts.total.take(miss)
+        lo, ra = low[miss] + share * begin, share * wide
+        out.settle(miss, lo, ra)
+        low[miss], rng[miss] = lo, ra
+        counts.learn(t, miss, place)
+        model.learn(m, own)
     packed = []
-    for k, (w, low, c) in enumerate(zip(words, lows, low_count, strict=True)):
-        block = ids[k * BLOCK : (k + 1) * BLOCK]
-        packed += [HEAD.pack(MAGIC, len(block), len(w) // 2, int(c), crc32(block.astype("<u4").tobytes())), w, low[:c].tobytes()]
-    return b"".join(packed)
+    for i, w in enumerate(out.finish()):
+        part = ids[i * block : (i + 1) * block]
+        packed += [HEAD.pack(b"BLCK", len(part), len(w) // 2, crc32(part.astype("<u4").tobytes())), w]
+    return packed
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The ids again; raises ValueError where a mark, a length or a block's checksum is wrong."""
-    counts, words, beside, sums, at = [], [], [], [], 0
+def _blocks(data: bytes) -> tuple[np.ndarray, int, list[int], list[np.ndarray], list[int]]:
+    counts, words, sums = [], [], []
+    if len(data) < FRONT.size:
+        raise ValueError("the front is cut off")
+    magic, block, k, check = FRONT.unpack_from(data)
+    at = FRONT.size + 2 * k
+    if magic != MAGIC or not 0 < block <= BLOCK or not 0 < k <= 1 << 16 or at > len(data) or crc32(data[FRONT.size : at]) != check:
+        raise ValueError("not a payload")
     while at < len(data):
         if at + HEAD.size > len(data):
             raise ValueError("a block's head is cut off")
-        magic, ids, length, extra, check = HEAD.unpack_from(data, at)
+        magic, ids, length, check = HEAD.unpack_from(data, at)
         at += HEAD.size
-        if magic != MAGIC or at + 2 * length + extra > len(data) or (counts and counts[-1] != BLOCK) or not 0 < ids <= BLOCK or extra > ids or length > 3 * ids + 8:
+        if magic != b"BLCK" or at + 2 * length > len(data) or not 0 < ids <= block or not 3 <= length <= 3 * ids + 8 or (counts and counts[-1] != block):
             raise ValueError("not a block")
         words.append(np.frombuffer(data, "<u2", length, at))
-        beside.append(np.frombuffer(data, np.uint8, extra, at + 2 * length))
         counts.append(ids)
         sums.append(check)
-        at += 2 * length + extra
-    if not counts:
+        at += 2 * length
+    return np.frombuffer(data, "<u2", k, FRONT.size).astype(np.int32), block, counts, words, sums
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The ids again; raises ValueError where a mark, a length or a block's checksum is wrong."""
+    if not data:
         return np.zeros(0, np.int32)
-    n, last, steps = len(counts), counts[-1], counts[0]
-    lows, low_count = np.zeros((n, steps + 1), np.uint8), np.zeros(n, np.int64)
-    for row, b in zip(lows, beside, strict=True):
-        row[: len(b)] = b
-    model, src, table = _Model(n), _Reader(words), np.zeros((steps, n), np.int32)
+    alphabet, block, counts, words, sums = _blocks(data)
+    group = max(1, ROOM // len(alphabet))
+    flat = np.concatenate([_decode_blocks(counts[at : at + group], words[at : at + group], alphabet) for at in range(0, len(counts), group)])
+    for k, check in enumerate(sums):
+        if crc32(flat[k * block : k * block + counts[k]].astype("<u4").tobytes()) != check:
+            raise ValueError(f"block {k}: wrong checksum")
+    return flat
+
+
+def _decode_blocks(sizes: list[int], words: list[np.ndarray], alphabet: np.ndarray) -> np.ndarray:
+    n, last, steps = len(sizes), sizes[-1], sizes[0]
+    model, counts, src, table = _Model(n), _Counts(n, len(alphabet)), _Reader(words), np.zeros((steps, n), np.int32)
     for t in range(steps):
         m = n if t < last else n - 1
         model.look(m)
-        place = src.ask(slice(0, m), BITS)
-        hit2 = place < model.first
-        hit1 = ~hit2 & (place < model.second)
-        begin = np.where(hit2, 0, np.where(hit1, model.first, model.second))
-        end = np.where(hit2, model.first, np.where(hit1, model.second, TOP))
-        src.take(slice(0, m), begin, end - begin)
-        own = np.where(hit2, model.c2, model.c1)
-        miss = np.flatnonzero(~(hit2 | hit1))
-        if len(miss):
-            base, pair = miss * NODES, src.ask(miss, 2 * BITS)
-            rows = model.nodes.take(base, axis=0)
-            a = (rows[:, 1:] <= (pair >> BITS)[:, None]).sum(1)
-            sa = rows[np.arange(len(miss)), a].astype(np.int64)
-            wa = rows[np.arange(len(miss)), a + 1] - sa
-            node = base + 1 + a
-            under = model.nodes.take(node, axis=0)
-            b = (under[:, 1:] <= ((pair - sa * TOP) // wa)[:, None]).sum(1)
-            sb = under[np.arange(len(miss)), b].astype(np.int64)
-            src.take(miss, sa * TOP + wa * sb, wa * (under[np.arange(len(miss)), b + 1] - sb))
-            spot = low_count[miss]
-            own[miss] = a << 12 | b << 8 | lows[miss, np.minimum(spot, steps)]
-            low_count[miss] = spot + 1
-            if t % EVERY == 0 or t < 64:
-                model.learn_node(base, a)
-                model.learn_node(node, b)
+        rest, lane, code, rng = model.ends[-1], np.arange(m), src.code[:m], src.range[:m]
+        share = rng // TOTAL
+        spot = np.minimum(code // share, TOTAL - 1)
+        k = np.minimum((model.ends <= spot).sum(0), 2 * KEPT - 1)
+        missed = spot >= rest
+        own, width = model.cand[k, lane].astype(np.int32), model.mass[k, lane]
+        code -= share * np.where(missed, rest, model.ends[k, lane] - width)
+        rng[:] = share * np.where(missed, TOTAL - rest, width)
+        src.settle(None, code, rng)
+        miss = np.flatnonzero(missed)
+        total = counts.total.take(miss)
+        share = rng[miss] // total
+        place = counts.find(miss, np.minimum(code[miss] // share, total - 1))
+        begin, wide = counts.share(miss, place)
+        co, ra = code[miss] - share * begin, share * wide
+        src.settle(miss, co, ra)
+        code[miss], rng[miss], own[miss] = co, ra, place
+        counts.learn(t, miss, place)
         table[t, :m] = own
-        model.learn(m, own, hit2, hit2 & model.same | hit1)
-    flat = np.ascontiguousarray(table.T).reshape(-1)[: (n - 1) * steps + last] if n > 1 else table[:last, 0]
-    for k, check in enumerate(sums):
-        if crc32(flat[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != check:
-            raise ValueError(f"block {k}: wrong checksum")
-    return flat
+        model.equals(own)
+        model.learn(m, own)
+    return alphabet.take(np.minimum(np.concatenate([table[:c, k] for k, c in enumerate(sizes)]), len(alphabet) - 1))

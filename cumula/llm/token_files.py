@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from zlib import crc32
@@ -15,10 +14,10 @@ from pyspark.sql import functions as F
 
 from cumula.llm import range_coder
 from cumula.llm.byte_bpe import byte_bpe, parts
-from cumula.llm.common import shuffle_width, texts
+from cumula.llm.common import shared_folder, shuffle_width, texts
 
 #: Ids from which a stripe closes behind a document, and parts a worker remembers.
-STRIPE_IDS, MEMO_PARTS = 4096 * range_coder.BLOCK, 1_000_000
+STRIPE_IDS, MEMO_PARTS = range_coder.LANES * range_coder.BLOCK, 1_000_000
 END_ID = 0
 STRIPES = "part int, stripe int, before long, least long, doc_ids array<long>, lengths array<long>, payload binary"
 
@@ -84,8 +83,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
 
     Rows are dealt by ranges of doc_id, so partitions follow each other in order
     (ties by text, rows without an id first). A partition writes stripes: whole
-    documents of eight million ids or more, coded in blocks of 2048 that are
-    decoded without each other and carry checksums. Every document ends with id
+    documents of eight million ids or more, coded in blocks of 2048 to 8192 ids that
+    are decoded without each other and carry checksums. Every document ends with id
     0; null and empty texts have that id alone. Ids must be below 65,536.
     """
     view = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -138,7 +137,6 @@ def read_ids(stripes: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write ``docs`` to a new table in the cluster's shared folder and read the index back."""
     spark = docs.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cumula-tokens-")
-    path = f"{base.rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, tokenizer, path)
     return read_index(spark.read.schema(STRIPES).parquet(path))
