@@ -136,6 +136,7 @@ class Stream:
     resyncs: int = 0
     checked: int = 0
     bad_crc: int = 0
+    unchecked: int = 0
     truncated: int = 0
     trailer: int = 0
 
@@ -175,14 +176,37 @@ def _read_table(data: bytes, at: int, f: Frame, out: Stream) -> bool:
     return False
 
 
+def _protected(f: Frame, mode: int) -> int:
+    """Bytes behind the checksum that it covers: layer III side information, or layer I bit allocation."""
+    if f.layer == 3:
+        return f.side
+    single = (mode >> 4 & 3) * 4 + 4 if mode >> 6 == 1 else 32  # subbands from here on share their allocation
+    return 16 if f.mono else (single * 2 + 32 - single) // 2
+
+
+def _tags_behind(data: bytes, least: int) -> list[int]:
+    """Places, ascending, where tags that end with the data may begin."""
+    cut, out = len(data), []
+    if cut - least >= 128 and data[cut - 128 : cut - 125] == b"TAG":
+        cut -= 128
+        out.append(cut)
+    if cut - least >= 32 and data[cut - 32 : cut - 24] == b"APETAGEX":
+        size = struct.unpack_from("<I", data, cut - 20)[0] + (32 if data[cut - 9] & 0x80 else 0)
+        if 32 <= size <= cut - least:
+            out.append(cut - size)
+    return sorted(out)
+
+
 def parse(data: bytes) -> Stream:
     """All frames of a file from first to last byte.
 
-    Tags in front (ID3v2) and behind (ID3v1, APE) are set apart. A header
-    counts where another of the same version, layer and rate, or the end of the
-    data, follows its frame; else the search goes on a byte further. The first
-    frame may hold a table instead of sound. Layer III checksums are verified
-    over the last two header bytes and the side information.
+    Tags in front (ID3v2) and behind (ID3v1, APE) are set apart; one behind only
+    where no frame reaches into it, so bytes inside the last frame that look
+    like a tag stay sound. A header counts where another of the same version,
+    layer and rate, a tag behind, or the end of the data follows its frame; else
+    the search goes on a byte further. The first frame may hold a table instead
+    of sound. Checksums of layers I and III are verified; protected layer II
+    frames, whose allocation tables are not held here, count as unchecked.
     """
     out, at, end = Stream(), 0, len(data)
     while n := id3_size(data, at):
@@ -190,14 +214,9 @@ def parse(data: bytes) -> Stream:
             out.tags = id3_texts(data[:n])
         at += n
     out.tag_bytes = min(at, end)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end, out.trailer = end - 128, 128
-    if end - at >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        size = struct.unpack_from("<I", data, end - 20)[0] + (32 if data[end - 9] & 0x80 else 0)
-        if size <= end - at:
-            end, out.trailer = end - size, out.trailer + size
+    behind = _tags_behind(data, at)
     last, lost = None, False
-    while at + 4 <= end:
+    while at + 4 <= end and at not in behind:
         f = _header(data, at)
         if f:
             after = at + f.length
@@ -207,14 +226,14 @@ def parse(data: bytes) -> Stream:
             if after > end:
                 if follows:
                     out.truncated += 1
-                    at = end
+                    at = next((c for c in behind if c > at), end)
                     break
                 f = None
-            elif not (same or after == end or (follows and end - after < 4)):
+            elif not (same or after == end or after in behind or (follows and end - after < 4)):
                 f = None
         if not f:
             nxt = data.find(b"\xff", at + 1, end)
-            nxt = end if nxt < 0 else nxt
+            nxt = min(end if nxt < 0 else nxt, next((c for c in behind if c > at), end))
             out.skipped += nxt - at
             at, lost = nxt, True
             continue
@@ -222,13 +241,17 @@ def parse(data: bytes) -> Stream:
             out.resyncs += 1
         lost, first = False, last is None
         last = f
-        if f.crc and f.layer == 3:
+        if f.crc and f.layer == 2:
+            out.unchecked += 1
+        elif f.crc:
             out.checked += 1
-            out.bad_crc += _crc(data[at + 2 : at + 4] + data[at + 6 : at + 6 + f.side]) != struct.unpack_from(">H", data, at + 4)[0]
+            out.bad_crc += _crc(data[at + 2 : at + 4] + data[at + 6 : at + 6 + _protected(f, data[at + 3])]) != struct.unpack_from(">H", data, at + 4)[0]
         if not (first and _read_table(data, at, f, out)):
             out.offsets.append(at)
             out.frames.append(f)
         at += f.length
+    if at in behind:
+        out.trailer, end = end - at, at
     out.skipped += max(0, end - at)
     return out
 
@@ -268,7 +291,7 @@ def padded(text: str | None) -> bytes:
 def feature(stream: Stream) -> str:
     """Duration, frames, checksums and a digest of the exact seek offsets."""
     seek = zlib.crc32(np.array(stream.offsets, "<i8").tobytes())
-    f = stream.frames[0]
+    f = stream.frames[0] if stream.frames else Frame(0, 0, False, 0, 0, True, 0, 0)
     return f"v{f.version}/l{f.layer}/{f.rate}Hz/{f.kbps}kbps;frames={len(stream.frames)};samples={stream.samples};seconds={stream.seconds:.6f};crc_ok={stream.checked - stream.bad_crc}/{stream.checked};resyncs={stream.resyncs};table={stream.table}:{stream.table_frames};seek={seek:08x}"
 
 
@@ -276,10 +299,10 @@ def audio_columns(media: DataFrame, column: str = "media") -> DataFrame:
     """Rows of ``media`` with a struct ``audio`` of what its MPEG audio bytes hold.
 
     It has exact seconds, samples, frames, seek offsets of every frame, table
-    kind and frames, tag bytes, text tags, skipped bytes, resyncs, checked and
-    wrong checksums. Null, empty and unreadable bytes give no frames and 0 s.
+    kind and frames, tag bytes, text tags, skipped bytes, resyncs, checked, wrong
+    and unchecked checksums. Null, empty and unreadable bytes give no frames and 0 s.
     """
-    kind = "struct<seconds:double,samples:long,frames:int,seek:array<long>,vbr_table:string,table_frames:int,tag_bytes:int,tags:map<string,string>,skipped:long,resyncs:int,checked:int,bad_crc:int,truncated:int>"
+    kind = "struct<seconds:double,samples:long,frames:int,seek:array<long>,vbr_table:string,table_frames:int,tag_bytes:int,tags:map<string,string>,skipped:long,resyncs:int,checked:int,bad_crc:int,unchecked:int,truncated:int>"
     if "audio" in media.columns:
         raise ValueError("column audio exists already")
 
@@ -288,8 +311,8 @@ def audio_columns(media: DataFrame, column: str = "media") -> DataFrame:
             out = []
             for data in b.column(column).to_pylist():
                 s = parse(data or b"")
-                out.append({"seconds": s.seconds, "samples": s.samples, "frames": len(s.frames), "seek": s.offsets, "vbr_table": s.table, "table_frames": s.table_frames, "tag_bytes": s.tag_bytes, "tags": list(s.tags.items()), "skipped": s.skipped, "resyncs": s.resyncs, "checked": s.checked, "bad_crc": s.bad_crc, "truncated": s.truncated})
-            form = pa.struct([("seconds", pa.float64()), ("samples", pa.int64()), ("frames", pa.int32()), ("seek", pa.list_(pa.int64())), ("vbr_table", pa.string()), ("table_frames", pa.int32()), ("tag_bytes", pa.int32()), ("tags", pa.map_(pa.string(), pa.string())), ("skipped", pa.int64()), ("resyncs", pa.int32()), ("checked", pa.int32()), ("bad_crc", pa.int32()), ("truncated", pa.int32())])
+                out.append({"seconds": s.seconds, "samples": s.samples, "frames": len(s.frames), "seek": s.offsets, "vbr_table": s.table, "table_frames": s.table_frames, "tag_bytes": s.tag_bytes, "tags": list(s.tags.items()), "skipped": s.skipped, "resyncs": s.resyncs, "checked": s.checked, "bad_crc": s.bad_crc, "unchecked": s.unchecked, "truncated": s.truncated})
+            form = pa.struct([("seconds", pa.float64()), ("samples", pa.int64()), ("frames", pa.int32()), ("seek", pa.list_(pa.int64())), ("vbr_table", pa.string()), ("table_frames", pa.int32()), ("tag_bytes", pa.int32()), ("tags", pa.map_(pa.string(), pa.string())), ("skipped", pa.int64()), ("resyncs", pa.int32()), ("checked", pa.int32()), ("bad_crc", pa.int32()), ("unchecked", pa.int32()), ("truncated", pa.int32())])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, form)], names=[*b.schema.names, "audio"])
 
     return media.mapInArrow(run, media.select("*", F.lit(None).cast(kind).alias("audio")).schema)
