@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from cumula.llm.common import durable
 
-#: Least characters of a line that takes part, the edit bound, and the segments of a line at the second level.
-MIN_CHARS, BOUND, SEGMENTS = 10, 1, 16
+#: Least characters of a line that takes part, and the segments of a line at the second level; the edit bound is one.
+MIN_CHARS, SEGMENTS = 10, 16
 SPACES = " \t\r\v\f"
 
 
@@ -147,8 +147,10 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     shared = keys.groupBy("key").count().where("count > 1").select("key")
     near = distinct.join(keys.join(shared, "key", "left_semi").select("h").distinct(), "h", "left_semi")
     wanted = near.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "h", "g", "n")).alias("w"))
-    found = dealt.join(wanted.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", F.split(F.coalesce("text", F.lit("")), "\n").alias("all"), F.explode("w").alias("w"))
-    texts = durable(found.select("doc_id", "th", "w.*", F.btrim(F.get("all", F.col("w.line")), F.lit(SPACES)).alias("s")).dropDuplicates(["h", "g"]))
+    # The lines are bound once and picked before the rows multiply, so a document costs its own length.
+    picked = F.transform(F.array(F.split(F.coalesce("text", F.lit("")), "\n")), lambda lines: F.transform("w", lambda w: F.struct(w["line"].alias("line"), w["h"].alias("h"), w["g"].alias("g"), w["n"].alias("n"), F.btrim(F.get(lines, w["line"]), F.lit(SPACES)).alias("s"))))
+    found = dealt.join(wanted.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", F.inline(F.get(picked, 0)))
+    texts = durable(found.dropDuplicates(["h", "g"]))
 
     second = _second_level(texts)
     both = second.groupBy("key").count().where("count > 1").select("key")
