@@ -144,12 +144,13 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, confident: flo
     all documents of which the other is sure, added to its labelled rows; what
     comes back to the driver is one count for each bucket and class.
     """
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").distinct()
     usable = usable.withColumn("fold", fold(F.col("doc_id"))).where(F.col("fold") != HELD_OUT_FOLD)
     order = F.xxhash64(F.col("doc_id"), F.lit("quality"))
     ids = usable.where("y = 1").orderBy(order, "doc_id").limit(per_class).union(usable.where("y = 0").orderBy(order, "doc_id").limit(per_class))
     view = _view(docs)
-    rows = sorted((r for r in view.join(F.broadcast(ids), "doc_id").collect()), key=lambda r: (r.doc_id, r.text or "", r.y))
+    one = view.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "fold", "y").agg(F.min(F.struct("text", "lang", "source")).alias("row"))  # an id may be in many rows
+    rows = sorted(one.select("doc_id", "fold", "y", "row.*").collect(), key=lambda r: (r.doc_id, r.y))
     words, pages = [word_buckets(r.text) for r in rows], [page_buckets(r.text, r.lang, r.source) for r in rows]
     y, calibrates = np.array([r.y == 1 for r in rows], bool), np.array([r.fold == CALIBRATION_FOLD for r in rows], bool)
     if not (~calibrates).any() or not calibrates.any():
