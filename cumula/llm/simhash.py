@@ -16,26 +16,34 @@ from cumula.llm.components import connected_components
 SHINGLE, SEED, RADIUS, TILE_ROWS, STRIP = 3, 42, 3, 32_768, 1 << 18
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash: a bit is set if it is set in over half of the shingle hashes.
+def hashed_shingles(text: str | None, shingle: int) -> np.ndarray:
+    """64-bit hashes of all shingles in order; ASCII letters lower-cased, words cut at ASCII white space.
 
-    ASCII letters are lower-cased, words are cut at ASCII white space, repeats
-    count. Fewer words than a shingle hash as one; no word gives zero.
+    Fewer words than a shingle hash as one, no word gives none.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     k = min(shingle, len(words))
     starts = np.concatenate(([0], ends[: len(words) - k] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         counts += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of a text's shingles, repeats included; no word gives zero."""
+    return majority(hashed_shingles(text, shingle))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long, one row for each input row."""
 
@@ -165,14 +173,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return fps.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its near-duplicate component.
-
-    Repeated rows of that id stay only once; rows without an id are kept.
-    """
-    groups = near_duplicates(docs, doc_id, text, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.where(F.col(f"`{doc_id}`").isNotNull())
-    kept = named.join(groups, F.col(f"`{doc_id}`") == F.col("_keep"), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
