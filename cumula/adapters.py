@@ -180,11 +180,11 @@ reports as (select p_partkey as report_id, case when p_partkey % 3 = 0 then 'hai
 
 
 def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Radar gates: volume, sweep (0 to 3), elev, az (0 to 359), gate (0 to 99), range_km, dbz, vel; one for each place."""
+    """Radar gates: volume (3600 orders each, so volumes grow with the table), sweep (0 to 3), elev, az (0 to 359), gate (0 to 99), range_km, dbz, vel; one for each place."""
     k, p = F.col("l_orderkey"), F.col("l_partkey")
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy((F.expr("l_orderkey div 90") % 8).alias("volume"), (F.col("l_linenumber") % 4).cast("long").alias("sweep"), (k * 7 % 90 * 4).alias("az"), (p % 100).alias("gate"))
+        .groupBy(F.expr("l_orderkey div 3600").alias("volume"), (F.col("l_linenumber") % 4).cast("long").alias("sweep"), (k * 7 % 90 * 4).alias("az"), (p % 100).alias("gate"))
         .agg(F.max("l_quantity").alias("qty"), F.max(F.col("l_partkey") % 61 - 30.0).alias("vel"))
         .select("volume", "sweep", (0.5 + 0.9 * F.col("sweep")).alias("elev"), "az", "gate", (2.0 + F.col("gate")).alias("range_km"), (15 + F.col("qty")).alias("dbz"), "vel")
     )
@@ -193,7 +193,7 @@ def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 GATES_SQL = """
 gates as (
   select volume, sweep, 0.5::double + 0.9::double * sweep as elev, az, gate, 2.0::double + gate as range_km, 15 + qty as dbz, vel from (
-    select l_orderkey // 90 % 8 as volume, (l_linenumber % 4)::bigint as sweep, l_orderkey * 7 % 90 * 4 as az, l_partkey % 100 as gate,
+    select l_orderkey // 3600 as volume, (l_linenumber % 4)::bigint as sweep, l_orderkey * 7 % 90 * 4 as az, l_partkey % 100 as gate,
            max(l_quantity) as qty, max(l_partkey % 61 - 30.0::double) as vel
     from lineitem group by 1, 2, 3, 4))
 """

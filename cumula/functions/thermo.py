@@ -128,7 +128,8 @@ def wetbulb(p: Column, t: Column, td: Column, steps: int = 40) -> Column:
         high = es(mid) - 0.00066 * (1 + 0.00115 * mid) * s["p"] * (s["t"] - mid) > s["e"]
         return F.struct(F.when(high, s["a"]).otherwise(mid).alias("a"), F.when(high, mid).otherwise(s["b"]).alias("b"), s["t"].alias("t"), s["p"].alias("p"), s["e"].alias("e"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["a"] + s["b"]) / 2)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["a"] + s["b"]) / 2)
+    return F.when((p + t + td).isNotNull(), found)
 
 
 def heat_index(t: Column, rh: Column) -> Column:
@@ -145,7 +146,8 @@ def heat_index(t: Column, rh: Column) -> Column:
 def wind_chill(t: Column, wind_ms: Column) -> Column:
     """The 2001 index where it is 10 C or colder and the wind is over 4.8 km/h, else the temperature."""
     v = F.pow(F.greatest(wind_ms * 3.6, F.lit(0.0)), 0.16)
-    return F.when((t <= 10) & (wind_ms * 3.6 > 4.8), 13.12 + 0.6215 * t - 11.37 * v + 0.3965 * t * v).otherwise(t)
+    chill = F.when((t <= 10) & (wind_ms * 3.6 > 4.8), 13.12 + 0.6215 * t - 11.37 * v + 0.3965 * t * v).otherwise(t)
+    return F.when(wind_ms.isNotNull(), chill)
 
 
 def apparent(t: Column, rh: Column, wind_ms: Column) -> Column:

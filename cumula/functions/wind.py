@@ -31,7 +31,7 @@ def section_wind(u: Column, v: Column, bearing: Column) -> tuple[Column, Column]
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_KM) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2.0) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2.0)
-    return 2 * radius * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * radius * F.asin(F.sqrt(F.when(a.isNotNull(), F.least(a, F.lit(1.0)))))
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -66,9 +66,14 @@ def dlon(x: Column) -> Column:
     return 180 - F.pmod(180 - x, F.lit(360.0))
 
 
+def _shrink(lat: Column, least: float) -> Column:
+    """Cosine of a latitude, ``least`` or more; null stays null."""
+    return F.when(lat.isNotNull(), F.greatest(F.abs(F.cos(F.radians(lat))), F.lit(least)))
+
+
 def distance_score(lat: Column, lon: Column, plat: Column, plon: Column) -> Column:
     """Squared degrees, longitudes shrunk by the cosine of the point's latitude (0.2 or more)."""
-    east = dlon(lon - plon) * F.greatest(F.abs(F.cos(F.radians(plat))), F.lit(0.2))
+    east = dlon(lon - plon) * _shrink(plat, 0.2)
     return (lat - plat) * (lat - plat) + east * east
 
 
@@ -88,12 +93,14 @@ def beam_height(range_km: Column, elev_deg: Column) -> Column:
 
 def unfold(v: Column, ref: Column, nyquist: Column) -> Column:
     """Velocity plus the whole number of Nyquist intervals (8 at most) that brings it nearest to ``ref``."""
-    return v + 2 * nyquist * F.greatest(F.lit(-8.0), F.least(F.lit(8.0), F.round((ref - v) / (2 * nyquist))))
+    turns = F.round((ref - v) / (2 * nyquist))
+    return v + 2 * nyquist * F.when(turns.isNotNull(), F.greatest(F.lit(-8.0), F.least(F.lit(8.0), turns)))
 
 
 def dealias_delta(d: Column, nyquist: Column) -> Column:
     """A difference brought into one Nyquist interval."""
-    return F.when(d > nyquist, d - 2 * nyquist * F.ceil((d - nyquist) / (2 * nyquist))).when(d < -nyquist, d + 2 * nyquist * F.ceil((-nyquist - d) / (2 * nyquist))).otherwise(d)
+    folded = F.when(d > nyquist, d - 2 * nyquist * F.ceil((d - nyquist) / (2 * nyquist))).when(d < -nyquist, d + 2 * nyquist * F.ceil((-nyquist - d) / (2 * nyquist))).otherwise(d)
+    return F.when(nyquist.isNotNull(), folded)
 
 
 def storm_relative(v: Column, az: Column, storm_dir: Column, storm_kt: Column) -> Column:
@@ -103,40 +110,43 @@ def storm_relative(v: Column, az: Column, storm_dir: Column, storm_kt: Column) -
 
 
 def tvs_threshold(range_km: Column) -> Column:
-    return TVS_NEAR + F.greatest(F.lit(0.0), F.least(F.lit(1.0), range_km / TVS_RANGE)) * (TVS_FAR - TVS_NEAR)
+    far = F.when(range_km.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), range_km / TVS_RANGE)))
+    return TVS_NEAR + far * (TVS_FAR - TVS_NEAR)
 
 
 def rotation_strength(shear: Column) -> Column:
-    return F.when(shear >= 0.012, "strong").when(shear >= 0.008, "moderate").otherwise("weak")
+    return F.when(shear >= 0.012, "strong").when(shear >= 0.008, "moderate").otherwise(F.when(shear.isNotNull(), "weak"))
 
 
 def centered_bounds(lon: Column, lat: Column, half_height: Column, aspect: float) -> tuple[Column, Column, Column, Column]:
     """west, east, south, north."""
-    w = half_height * aspect / F.greatest(F.abs(F.cos(F.radians(lat))), F.lit(0.25))
+    w = half_height * aspect / _shrink(lat, 0.25)
     return lon - w, lon + w, lat - half_height, lat + half_height
 
 
 def bounds_area(west: Column, east: Column, south: Column, north: Column) -> Column:
-    return F.abs(east - west) * F.greatest(F.abs(F.cos(F.radians((south + north) / 2))), F.lit(0.25)) * KM_PER_DEG * F.abs(north - south) * KM_PER_DEG
+    return F.abs(east - west) * _shrink((south + north) / 2, 0.25) * KM_PER_DEG * F.abs(north - south) * KM_PER_DEG
 
 
 def overlap_fraction(a: tuple, b: tuple) -> Column:
     """Shared area over the smaller of two bounds."""
     w, e, s, n = F.greatest(a[0], b[0]), F.least(a[1], b[1]), F.greatest(a[2], b[2]), F.least(a[3], b[3])
     part = bounds_area(w, e, s, n) / F.greatest(F.least(bounds_area(*a), bounds_area(*b)), F.lit(1.0))
-    return F.when((e <= w) | (n <= s), 0.0).otherwise(F.least(part, F.lit(1.0)))
+    whole = sum((*a[1:], *b), a[0]).isNotNull()
+    return F.when(whole, F.when((e <= w) | (n <= s), 0.0).otherwise(F.least(part, F.lit(1.0))))
 
 
 def edge_margin(lon: Column, lat: Column, bounds: tuple) -> Column:
-    c = F.greatest(F.abs(F.cos(F.radians(lat))), F.lit(0.25)) * KM_PER_DEG
-    return F.least(F.abs(lon - bounds[0]) * c, F.abs(bounds[1] - lon) * c, F.abs(lat - bounds[2]) * KM_PER_DEG, F.abs(bounds[3] - lat) * KM_PER_DEG)
+    c = _shrink(lat, 0.25) * KM_PER_DEG
+    sides = [F.abs(lon - bounds[0]) * c, F.abs(bounds[1] - lon) * c, F.abs(lat - bounds[2]) * KM_PER_DEG, F.abs(bounds[3] - lat) * KM_PER_DEG]
+    return F.when(sum(sides[1:], sides[0]).isNotNull(), F.least(*sides))
 
 
 def expand_to_aspect(west: Column, east: Column, south: Column, north: Column, pad: float, least_half: float, aspect: float) -> tuple[Column, Column, Column, Column]:
     lon, lat = (west + east) / 2, (south + north) / 2
-    c = F.greatest(F.abs(F.cos(F.radians(lat))), F.lit(0.25))
-    tall = F.greatest((north - south) / 2, F.lit(least_half)) * KM_PER_DEG
+    c = _shrink(lat, 0.25)
+    tall = F.when((north - south).isNotNull(), F.greatest((north - south) / 2, F.lit(least_half))) * KM_PER_DEG
     wide = (east - west) / 2 * KM_PER_DEG * c
-    half = F.greatest(F.greatest(tall, wide / max(aspect, 0.25)) * (1 + max(pad, 0.0)) / KM_PER_DEG, F.lit(least_half))
+    half = F.when((tall + wide).isNotNull(), F.greatest(F.greatest(tall, wide / max(aspect, 0.25)) * (1 + max(pad, 0.0)) / KM_PER_DEG, F.lit(least_half)))
     w = half * max(aspect, 0.25) / c
     return lon - w, lon + w, lat - half, lat + half

@@ -186,7 +186,7 @@ def clean_column(levels: Column) -> Column:
     def keep(acc: Column, x: Column) -> Column:
         good = x["p"].isNotNull() & x["z"].isNotNull() & x["t"].isNotNull()
         fits = (F.size(acc) == 0) | ((x["p"] < F.get(acc, F.size(acc) - 1)["p"]) & (x["z"] > F.get(acc, F.size(acc) - 1)["z"]))
-        new = F.struct(x["p"].alias("p"), x["z"].alias("z"), x["t"].alias("t"), F.least(x["td"], x["t"]).alias("td"))
+        new = F.struct(x["p"].alias("p"), x["z"].alias("z"), x["t"].alias("t"), F.when(x["td"].isNotNull(), F.least(x["td"], x["t"])).alias("td"))
         return F.when(good & fits, F.concat(acc, F.array(new))).otherwise(acc)
 
     return F.aggregate(levels, F.array().cast("array<struct<p:double,z:double,t:double,td:double>>"), keep)

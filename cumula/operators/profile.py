@@ -48,7 +48,7 @@ def height_agl(levels: DataFrame, surface: DataFrame, keys: list[str]) -> DataFr
 
     low = F.min("z_m").over(Win.partitionBy(*keys))
     joined = levels.withColumn("_low", low).join(surface.select(*keys, F.col("orog_m").alias("_orog")), keys, "left")
-    agl = joined.withColumn("z_m", F.greatest(F.col("z_m") - F.coalesce("_orog", "_low", F.lit(0.0)), F.lit(0.0))).drop("_low", "_orog")
+    agl = joined.withColumn("z_m", F.when(F.col("z_m").isNotNull(), F.greatest(F.col("z_m") - F.coalesce("_orog", "_low", F.lit(0.0)), F.lit(0.0)))).drop("_low", "_orog")
     return monotone_height(agl, keys)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from cumula.functions.wind import distance_score, haversine
-from cumula.operators.components import durable
+from cumula.shared import written
 
 
 def _probe(cells: DataFrame, points: DataFrame, k: int, bucket: float) -> DataFrame:
@@ -35,7 +35,7 @@ def k_nearest(cells: DataFrame, points: DataFrame, k: int, bucket: float = 1.0)
     """
     out = None
     while True:
-        found = durable(_probe(cells, points, k, bucket))
+        found = written(_probe(cells, points, k, bucket))
         last = bucket >= 180
         done = found if last else found.where("complete")
         out = done if out is None else out.unionByName(done)

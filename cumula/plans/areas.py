@@ -327,13 +327,13 @@ from near join cells using (grid_index) join pt on pt.route_id = near.route_id a
 
 
 def polygon_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest values on an 8 x 8 matrix of each polygon's bounds, null outside the polygon."""
+    """Nearest values of every run and hour on an 8 x 8 matrix of each polygon's bounds, null outside the polygon."""
     c, poly = A.cells(spark, sf_dir), A.polygons(spark, sf_dir)
     box = poly.where("ring = 0").groupBy(F.col("poly_id").alias("area_id")).agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
     m = S.matrix_points(box, 8).withColumn("point_id", F.concat_ws(":", "area_id", "row", "col"))
     inside = m.join(P.polygon_shapes(poly).select(F.col("poly_id").alias("area_id"), "rings"), "area_id").select("point_id", P.in_polygon(F.col("plat"), F.col("plon"), F.col("rings")).alias("inside"))
-    got = S.sample_nearest(c.where("fhr = 2 and run = 0"), _grid(c), m.select("point_id", "plat", "plon"), ["run"])
-    return _r(m.join(inside, "point_id").join(got, "point_id").select("area_id", "row", "col", F.when(F.col("inside"), F.col("value")).alias("value")).where("row between 1 and 6 and col between 1 and 6"))
+    got = S.sample_nearest(c, _grid(c), m.select("point_id", "plat", "plon"), ["run", "fhr"])
+    return _r(m.join(inside, "point_id").join(got, "point_id").select("run", "fhr", "area_id", "row", "col", F.when(F.col("inside"), F.col("value")).alias("value")).where("row between 1 and 6 and col between 1 and 6"))
 
 
 POLYGON_MATRIX_SQL = f"""
@@ -345,7 +345,7 @@ par as (select area_id, row, col, ring, count(*) % 2 as odd from pt join edges o
 ins as (select area_id, row, col from par group by 1, 2, 3 having coalesce(max(odd) filter (where ring = 0), 0) = 1 and coalesce(max(odd) filter (where ring = 1), 0) = 0),
 places as (select distinct grid_index, lat, lon from cells),
 near as (select area_id, row, col, grid_index, row_number() over (partition by area_id, row, col order by {_SCORE}, grid_index) as rank from pt join places on true)
-select area_id, row, col, round(case when (area_id, row, col) in (select (area_id, row, col) from ins) then value end, 6) as value from near join cells using (grid_index) where rank = 1 and fhr = 2 and run = 0
+select run, fhr, area_id, row, col, round(case when (area_id, row, col) in (select (area_id, row, col) from ins) then value end, 6) as value from near join cells using (grid_index) where rank = 1
 """
 
 
@@ -364,13 +364,13 @@ select source_file, min(ts) as first, max(ts) as last, count(*) as flashes, roun
 
 
 def lon_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortest longitude arc of each file's flashes, taken three times around."""
-    f = A.flashes(spark, sf_dir).withColumn("lon", F.col("lon") * 3 + F.col("flash_id") % 5).where("flash_id % 200 < 6")
-    return _r(R.lon_bounds(f.withColumn("g", F.col("flash_id") % 40), ["g"]))
+    """Shortest longitude arc of every six flashes, taken three times around."""
+    f = A.flashes(spark, sf_dir).withColumn("lon", F.col("lon") * 3 + F.col("flash_id") % 5)
+    return _r(R.lon_bounds(f.withColumn("g", F.floor(F.col("flash_id") / 6)), ["g"]))
 
 
 LON_BOUNDS_SQL = f"""
-with {A.FLASHES_SQL}, x as (select distinct flash_id % 40 as g, (lon * 3 + flash_id % 5) - 360 * floor((lon * 3 + flash_id % 5) / 360) as x from flashes where flash_id % 200 < 6),
+with {A.FLASHES_SQL}, x as (select distinct flash_id // 6 as g, (lon * 3 + flash_id % 5) - 360 * floor((lon * 3 + flash_id % 5) / 360) as x from flashes),
 gp as (select g, x, coalesce(lead(x) over (partition by g order by x), min(x) over (partition by g) + 360) as n from x),
 b as (select *, row_number() over (partition by g order by n - x desc, x) as r from gp)
 select g, round(case when n % 360 >= 180 then n % 360 - 360 else n % 360 end, 6) as west, round(case when x >= 180 then x - 360 else x end, 6) as east from b where r = 1

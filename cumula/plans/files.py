@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +12,7 @@ from cumula.functions import wind as W
 from cumula.operators import sampling as S
 from cumula.operators.windows import hourly_precip
 from cumula.plans.areas import NEAR_SQL, _r
+from cumula.shared import new_path as _folder
 from cumula.sources import files as I
 from cumula.sources import sinks as O
 
@@ -24,11 +22,6 @@ PRESETS = {"mesoconvective": ("t_c", "td_c", "u", "v", "rh", "q"), "surface": ("
 BLOCK_RECORDS = 1000
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cumula-files-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def reports_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Storm reports written as CSV under alias headers, with wrong rows, and scanned."""
     p = A.reports(spark, sf_dir)
@@ -81,14 +74,14 @@ TIMESTEP_SCAN_SQL = f"with {A.CELLS_SQL} select grid_index, lat, lon, round(valu
 
 
 def field_grid_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two fields of run 0 written as a grid CSV and read."""
-    s = A.surface(spark, sf_dir).where("run = 0")
-    long = s.select("grid_index", "lat", "lon", F.inline(F.array(*(F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in ("t_c", "rh")))))
-    O.write_field_grid(long, ["t_c", "rh"], path := _folder(spark, "grid"))
-    return _r(spark.read.schema("lat double, lon double, t_c double, rh double").csv(path, header=True), 5)
+    """Two fields of every run written as grid CSV and read."""
+    s = A.surface(spark, sf_dir)
+    long = s.select("run", "grid_index", "lat", "lon", F.inline(F.array(*(F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in ("t_c", "rh")))))
+    O.write_field_grid(long, ["t_c", "rh"], path := _folder(spark, "grid"), ["run"])
+    return _r(spark.read.schema("lat double, lon double, t_c double, rh double, run long").csv(path, header=True), 5)
 
 
-FIELD_GRID_CSV_SQL = f"with {A.SURFACE_SQL} select lat, lon, round(t_c, 5) as t_c, rh from surface where run = 0"
+FIELD_GRID_CSV_SQL = f"with {A.SURFACE_SQL} select run, lat, lon, round(t_c, 5) as t_c, rh from surface"
 
 
 def ml_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,22 +114,22 @@ select case when run % 5 = 0 then 'val' else 'train' end as split, count(*) as s
 
 
 def point_timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly values and derived variables at each point of run 0, missing ones named."""
-    c, pts = A.cells(spark, sf_dir).where("run = 0"), A.points(spark, sf_dir)
-    t = S.sample_nearest(c.select("fhr", "grid_index", "value"), c.select("grid_index", "lat", "lon").distinct(), pts, ["fhr"]).select("point_id", "fhr", F.col("value").alias("accum"), "grid_index")
-    sfc = A.surface(spark, sf_dir).where("run = 0").select("grid_index", "t_c", "rh", "u", "v")
-    j = t.join(sfc, "grid_index").withColumn("rh", F.when(F.col("fhr") != 2, F.col("rh")))
-    h = hourly_precip(j.withColumnRenamed("accum", "value"), ["point_id"])
-    out = h.select("point_id", "fhr", F.col("t_c").alias("temperature_2m"), T.dewpoint_rh(F.col("t_c"), F.col("rh")).alias("dewpoint_2m"), F.col("rh").alias("relative_humidity_2m"), W.wind_speed(F.col("u"), F.col("v")).alias("wind_speed_10m"), F.col("value").alias("precip_accum"), F.col("hourly").alias("precip_hourly"), T.vpd_rh(F.col("t_c"), F.col("rh")).alias("vpd_2m"))
-    lost = F.array_join(F.array_compact(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in out.columns[2:]))), ",")
+    """Hourly values and derived variables of every run at each point, missing ones named."""
+    c, pts = A.cells(spark, sf_dir), A.points(spark, sf_dir)
+    t = S.sample_nearest(c.select("run", "fhr", "grid_index", "value"), c.select("grid_index", "lat", "lon").distinct(), pts, ["run", "fhr"]).select("run", "point_id", "fhr", F.col("value").alias("accum"), "grid_index")
+    sfc = A.surface(spark, sf_dir).select("run", "grid_index", "t_c", "rh", "u", "v")
+    j = t.join(sfc, ["run", "grid_index"]).withColumn("rh", F.when(F.col("fhr") != 2, F.col("rh")))
+    h = hourly_precip(j.withColumnRenamed("accum", "value"), ["run", "point_id"])
+    out = h.select("run", "point_id", "fhr", F.col("t_c").alias("temperature_2m"), T.dewpoint_rh(F.col("t_c"), F.col("rh")).alias("dewpoint_2m"), F.col("rh").alias("relative_humidity_2m"), W.wind_speed(F.col("u"), F.col("v")).alias("wind_speed_10m"), F.col("value").alias("precip_accum"), F.col("hourly").alias("precip_hourly"), T.vpd_rh(F.col("t_c"), F.col("rh")).alias("vpd_2m"))
+    lost = F.array_join(F.array_compact(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in out.columns[3:]))), ",")
     return _r(out.withColumn("missing", lost))
 
 
 POINT_TIMESERIES_SQL = f"""
-with {NEAR_SQL}, sf as (select run, grid_index, price % 4500 / 100 - 5 as t, 5.0::double + (k * 7) % 96 as rh, c % 41 - 20.0::double as u, k % 37 - 18.0::double as v from grid where run = 0),
-j as (select point_id, fhr, value, t, case when fhr <> 2 then rh end as rh, sqrt(u * u + v * v) as ws from near join cells using (grid_index) join sf using (run, grid_index) where rank = 1 and run = 0),
-l as (select *, case when fhr = 0 then value else value - lag(value) over (partition by point_id order by fhr) end as rise, 6.112 * exp(17.67 * t / (t + 243.5)) as es from j),
-o as (select point_id, fhr, round(t, 6) as temperature_2m, round(243.5 * ln(es * rh / 100 / 6.112) / (17.67 - ln(es * rh / 100 / 6.112)), 6) as dewpoint_2m, rh as relative_humidity_2m, round(ws, 6) as wind_speed_10m, round(value, 6) as precip_accum,
+with {NEAR_SQL}, sf as (select run, grid_index, price % 4500 / 100 - 5 as t, 5.0::double + (k * 7) % 96 as rh, c % 41 - 20.0::double as u, k % 37 - 18.0::double as v from grid),
+j as (select run, point_id, fhr, value, t, case when fhr <> 2 then rh end as rh, sqrt(u * u + v * v) as ws from near join cells using (grid_index) join sf using (run, grid_index) where rank = 1),
+l as (select *, case when fhr = 0 then value else value - lag(value) over (partition by run, point_id order by fhr) end as rise, 6.112 * exp(17.67 * t / (t + 243.5)) as es from j),
+o as (select run, point_id, fhr, round(t, 6) as temperature_2m, round(243.5 * ln(es * rh / 100 / 6.112) / (17.67 - ln(es * rh / 100 / 6.112)), 6) as dewpoint_2m, rh as relative_humidity_2m, round(ws, 6) as wind_speed_10m, round(value, 6) as precip_accum,
   round(case when rise is not null then greatest(rise, 0) end, 6) as precip_hourly, round(es * (1 - rh / 100), 6) as vpd_2m from l)
 select *, concat_ws(',', case when dewpoint_2m is null then 'dewpoint_2m' end, case when relative_humidity_2m is null then 'relative_humidity_2m' end, case when precip_accum is null then 'precip_accum' end, case when precip_hourly is null then 'precip_hourly' end, case when vpd_2m is null then 'vpd_2m' end) as missing from o
 """

@@ -137,8 +137,8 @@ ROUTE_SAMPLES_SQL = f"with {ROUTE_SQL} select route_id, seq, round(plat, 5) as p
 
 
 def _section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lv = A.levels(spark, sf_dir).where("run = 0")
-    return SE.sample_section(lv, lv.select("grid_index", "lat", "lon").distinct(), SE.sample_route(_route(spark, sf_dir), 11), [], ["p_hpa", "t_c", "q", "u", "v"])
+    lv = A.levels(spark, sf_dir)
+    return SE.sample_section(lv, lv.select("grid_index", "lat", "lon").distinct(), SE.sample_route(_route(spark, sf_dir), 11), ["run"], ["p_hpa", "t_c", "q", "u", "v"])
 
 
 def section_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ def section_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     ground = s.where("seq % 2 = 0").select("route_id", "seq", F.lit(930.0).alias("psfc_hpa")).distinct()
     names = ["relative_humidity", "theta_e", "wind_speed", "wet_bulb", "vpd", "dewpoint_depression", "moisture_transport", "specific_humidity", "along", "left_wind"]
     m = SE.mask_terrain(s, ground, names)
-    return _r(m.groupBy("route_id", "k").agg(F.count("relative_humidity").alias("n"), F.avg("temperature").alias("temperature"), *(F.avg(c).alias(c) for c in names)), 4)
+    return _r(m.groupBy("run", "route_id", "k").agg(F.count("relative_humidity").alias("n"), F.avg("temperature").alias("temperature"), *(F.avg(c).alias(c) for c in names)), 4)
 
 
 SECTION_SQL = (
@@ -155,9 +155,9 @@ SECTION_SQL = (
     + ","
     + ROUTE_SQL
     + f""",
-places as (select distinct grid_index, lat, lon from levels where run = 0),
+places as (select distinct grid_index, lat, lon from levels),
 near as (select route_id, seq, grid_index, {_SCORE} as score, row_number() over (partition by route_id, seq order by {_SCORE}, grid_index) as rank from route join places on true),
-sec as (select route_id, near.seq, k, {", ".join(f"sum({n} / score) / nullif(sum(1 / score) filter (where {n} is not null), 0) as {n}" for n in ("p_hpa", "t_c", "q", "u", "v"))} from near join levels using (grid_index) where rank <= 4 and run = 0 group by 1, 2, 3)
+sec as (select run, route_id, near.seq, k, {", ".join(f"sum({n} / score) / nullif(sum(1 / score) filter (where {n} is not null), 0) as {n}" for n in ("p_hpa", "t_c", "q", "u", "v"))} from near join levels using (grid_index) where rank <= 4 group by 1, 2, 3, 4)
 """
 )
 SECTION_PRODUCTS_SQL = f"""
@@ -166,27 +166,27 @@ b as (select sec.*, radians(bearing) as br, 6.112 * exp(17.67 * t_c / (t_c + 243
 d as (select *, 243.5 * ln(e / 6.112) / (17.67 - ln(e / 6.112)) as td, greatest(0, least(100, 100 * e / es)) as rh, sqrt(u * u + v * v) as ws from b),
 f as (select *, 6.112 * exp(17.67 * td / (td + 243.5)) as ed from d),
 g as (select *, 0.622 * ed / (p_hpa - ed) as r, 1 / (1 / (td + 273.15 - 56) + ln((t_c + 273.15) / (td + 273.15)) / 800) + 56 as tl from f)
-select route_id, k, count(rh) filter (where seen) as n, round(avg(t_c), 4) as temperature, round(avg(rh) filter (where seen), 4) as relative_humidity,
+select run, route_id, k, count(rh) filter (where seen) as n, round(avg(t_c), 4) as temperature, round(avg(rh) filter (where seen), 4) as relative_humidity,
   round(avg((t_c + 273.15) * (1000 / p_hpa) ** (0.2854 * (1 - 0.28 * r)) * exp((3.376 / tl - 0.00254) * 1000 * r * (1 + 0.81 * r))) filter (where seen), 4) as theta_e, round(avg(ws) filter (where seen), 4) as wind_speed,
   round(avg(t_c * atan(0.151977 * sqrt(rh + 8.313659)) + atan(t_c + rh) - atan(rh - 1.676331) + 0.00391838 * rh ** 1.5 * atan(0.023101 * rh) - 4.686035) filter (where seen), 4) as wet_bulb,
   round(avg(et * (1 - rh / 100)) filter (where seen), 4) as vpd, round(avg(t_c - td) filter (where seen), 4) as dewpoint_depression, round(avg(q * 1000 * ws) filter (where seen), 4) as moisture_transport, round(avg(q / (1 + q) * 1000) filter (where seen), 4) as specific_humidity,
-  round(avg(u * sin(br) + v * cos(br)) filter (where seen), 4) as along, round(avg(v * sin(br) - u * cos(br)) filter (where seen), 4) as left_wind from g group by 1, 2
+  round(avg(u * sin(br) + v * cos(br)) filter (where seen), 4) as along, round(avg(v * sin(br) - u * cos(br)) filter (where seen), 4) as left_wind from g group by 1, 2, 3
 """
 
 
 def section_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extremes of temperature and wind of each section."""
     s = SE.section_wind(_section(spark, sf_dir)).withColumn("t_c", F.when(F.col("p_hpa") < 960, F.col("t_c")))
-    return _r(SE.section_facts(s, ["route_id"], "t_c").join(SE.wind_facts(s, ["route_id"]), "route_id"), 5)
+    return _r(SE.section_facts(s, ["run", "route_id"], "t_c").join(SE.wind_facts(s, ["run", "route_id"]), ["run", "route_id"]), 5)
 
 
 SECTION_FACTS_SQL = f"""
-with {SECTION_SQL}, w as (select s.route_id, s.seq, k, case when p_hpa < 960 then t_c end as t, u, v, u * sin(radians(bearing)) + v * cos(radians(bearing)) as al, v * sin(radians(bearing)) - u * cos(radians(bearing)) as le from sec s join route using (route_id, seq)),
-l as (select *, k = min(k) filter (where t is not null) over (partition by route_id, seq) as low from w),
-lo as (select route_id, seq as min_seq, k as min_k, row_number() over (partition by route_id order by t, seq, k) as r from w where t is not null), hi as (select route_id, seq as max_seq, k as max_k, row_number() over (partition by route_id order by t desc, seq, k) as r from w where t is not null)
-select route_id, count(t) as finite, count(*) - count(t) as missing, round(min(t), 5) as min, any_value(min_seq) as min_seq, any_value(min_k) as min_k, round(max(t), 5) as max, any_value(max_seq) as max_seq, any_value(max_k) as max_k, round(min(t) filter (where low), 5) as low_min, round(max(t) filter (where low), 5) as low_max,
+with {SECTION_SQL}, w as (select s.run, s.route_id, s.seq, k, case when p_hpa < 960 then t_c end as t, u, v, u * sin(radians(bearing)) + v * cos(radians(bearing)) as al, v * sin(radians(bearing)) - u * cos(radians(bearing)) as le from sec s join route using (route_id, seq)),
+l as (select *, k = min(k) filter (where t is not null) over (partition by run, route_id, seq) as low from w),
+lo as (select run, route_id, seq as min_seq, k as min_k, row_number() over (partition by run, route_id order by t, seq, k) as r from w where t is not null), hi as (select run, route_id, seq as max_seq, k as max_k, row_number() over (partition by run, route_id order by t desc, seq, k) as r from w where t is not null)
+select run, route_id, count(t) as finite, count(*) - count(t) as missing, round(min(t), 5) as min, any_value(min_seq) as min_seq, any_value(min_k) as min_k, round(max(t), 5) as max, any_value(max_seq) as max_seq, any_value(max_k) as max_k, round(min(t) filter (where low), 5) as low_min, round(max(t) filter (where low), 5) as low_max,
   round(max(sqrt(u * u + v * v)), 5) as strongest, round(max(al) filter (where al > 0), 5) as tail, round(max(-al) filter (where al < 0), 5) as head, round(max(le) filter (where le > 0), 5) as to_left, round(max(-le) filter (where le < 0), 5) as to_right
-from l join (select * from lo where r = 1) lo using (route_id) join (select * from hi where r = 1) hi using (route_id) group by 1
+from l join (select * from lo where r = 1) lo using (run, route_id) join (select * from hi where r = 1) hi using (run, route_id) group by 1, 2
 """
 
 

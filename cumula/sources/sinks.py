@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_field_grid(long: DataFrame, fields: list[str], path: str) -> None:
-    """CSV of lat, lon and one column for each field from (grid_index, lat, lon, field, value)."""
-    wide = long.groupBy("grid_index", "lat", "lon").pivot("field", fields).agg(F.first("value", ignorenulls=True))
-    wide.drop("grid_index").write.csv(path, header=True)
+def write_field_grid(long: DataFrame, fields: list[str], path: str, keys: list[str] | None = None) -> None:
+    """CSV of lat, lon and one column for each field from (keys, grid_index, lat, lon, field, value); a folder for each key."""
+    wide = long.groupBy(*(keys or []), "grid_index", "lat", "lon").pivot("field", fields).agg(F.first("value", ignorenulls=True)).drop("grid_index")
+    (wide.write.partitionBy(*keys) if keys else wide.write).csv(path, header=True)
 
 
 def write_table(df: DataFrame, path: str) -> None:
