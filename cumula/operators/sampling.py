@@ -12,30 +12,35 @@ from cumula.functions.wind import distance_score, haversine
 from cumula.shared import written
 
 
-def _probe(cells: DataFrame, points: DataFrame, k: int, bucket: float) -> DataFrame:
+def _probe(cells: DataFrame, points: DataFrame, k: int, bucket: float, km: bool) -> DataFrame:
     """Ranked candidates of each point from its own and the neighbouring buckets, and whether they are surely the nearest."""
     turns = math.ceil(360 / bucket)
     own = cells.select("grid_index", "lat", "lon", F.floor(F.col("lat") / bucket).alias("_by"), F.pmod(F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / bucket), F.lit(turns)).alias("_bx"))
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     asked = points.select("point_id", "plat", "plon", F.inline(steps))
     asked = asked.select("point_id", "plat", "plon", (F.floor(F.col("plat") / bucket) + F.col("a")).alias("_by"), F.pmod(F.floor(F.pmod(F.col("plon"), F.lit(360.0)) / bucket) + F.col("b"), F.lit(turns)).alias("_bx")).distinct()
-    score = distance_score(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
+    score = (haversine if km else distance_score)(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
     near = asked.join(own, ["_by", "_bx"]).select("point_id", "plat", "plon", "grid_index", "lat", "lon", score.alias("score"))
     ranked = near.withColumn("rank", F.row_number().over(Win.partitionBy("point_id").orderBy("score", "grid_index"))).where(F.col("rank") <= k)
-    whole = F.pow(bucket * F.greatest(F.abs(F.cos(F.radians("plat"))), F.lit(0.2)), 2.0)
+    if km:  # what lies outside the buckets is a bucket away in latitude, or so in longitude at the farther edge
+        edge = F.cos(F.radians(F.least(F.lit(90.0), F.abs("plat") + 2 * bucket)))
+        whole = 111.0 * bucket * F.when(F.abs("plat") + 2 * bucket < 85, edge).otherwise(0.0)
+    else:
+        whole = F.pow(bucket * F.greatest(F.abs(F.cos(F.radians("plat"))), F.lit(0.2)), 2.0)
     return ranked.withColumn("complete", (F.max("rank").over(Win.partitionBy("point_id")) == k) & (F.max("score").over(Win.partitionBy("point_id")) <= whole))
 
 
-def k_nearest(cells: DataFrame, points: DataFrame, k: int, bucket: float = 1.0) -> DataFrame:
+def k_nearest(cells: DataFrame, points: DataFrame, k: int, bucket: float = 1.0, km: bool = False) -> DataFrame:
     """(point_id, plat, plon, grid_index, lat, lon, score, rank): the k nearest cells of each point.
 
     Ties go to the lesser grid_index. Points look in neighbouring buckets first;
     those whose k-th cell may lie beyond look again in buckets twice as wide,
     until these cover the globe, so the result is exact for cells of any spacing.
+    ``km``: the score is the great-circle distance in place of squared degrees.
     """
     out = None
     while True:
-        found = written(_probe(cells, points, k, bucket))
+        found = written(_probe(cells, points, k, bucket, km))
         last = bucket >= 180
         done = found if last else found.where("complete")
         out = done if out is None else out.unionByName(done)
@@ -69,18 +74,23 @@ def sample_idw4(values: DataFrame, cells: DataFrame, points: DataFrame, keys: li
     return joined.groupBy(*keys, "point_id").agg(F.try_divide(F.sum(there * F.col("value")), F.sum(there)).alias("value"), F.array_sort(F.collect_list(F.struct("grid_index", "weight"))).alias("contributors"))
 
 
-def sample_box_mean(values: DataFrame, cells: DataFrame, points: DataFrame, keys: list[str], half_km: float, km_per_deg: float = 111.0) -> DataFrame:
-    """(keys, point_id, value, n): mean over a box around each point, else the nearest cell's value.
+def box_cells(cells: DataFrame, points: DataFrame, half_km: float, km_per_deg: float = 111.0) -> DataFrame:
+    """(point_id, grid_index) of the cells in a box around each point.
 
     The box is ``half_km`` high and wide on each side, longitudes widened by the
-    cosine of the latitude (0.2 or more).
+    cosine of the latitude (0.2 or more). Cells and points meet in buckets of one degree.
     """
     half = half_km / km_per_deg
     wide = half / F.greatest(F.abs(F.cos(F.radians("plat"))), F.lit(0.2))
     asked = points.select("point_id", "plat", "plon", wide.alias("w"))
     asked = asked.withColumn("_by", F.explode(F.sequence(F.floor(F.col("plat") - half), F.floor(F.col("plat") + half)))).withColumn("_bx", F.explode(F.sequence(F.floor(F.col("plon") - F.col("w")), F.floor(F.col("plon") + F.col("w")))))
     own = cells.select("grid_index", "lat", "lon", F.floor("lat").alias("_by"), F.floor("lon").alias("_bx"))
-    inside = asked.join(own, ["_by", "_bx"]).where((F.abs(F.col("lat") - F.col("plat")) <= half) & (F.abs(F.col("lon") - F.col("plon")) <= F.col("w"))).select("point_id", "grid_index")
+    return asked.join(own, ["_by", "_bx"]).where((F.abs(F.col("lat") - F.col("plat")) <= half) & (F.abs(F.col("lon") - F.col("plon")) <= F.col("w"))).select("point_id", "grid_index")
+
+
+def sample_box_mean(values: DataFrame, cells: DataFrame, points: DataFrame, keys: list[str], half_km: float, km_per_deg: float = 111.0) -> DataFrame:
+    """(keys, point_id, value, n): mean over a box around each point, else the nearest cell's value."""
+    inside = box_cells(cells, points, half_km, km_per_deg)
     mean = values.join(inside, "grid_index").groupBy(*keys, "point_id").agg(F.avg("value").alias("box"), F.count("value").alias("n"))
     nearest = sample_nearest(values, cells, points, keys).withColumnRenamed("value", "near").drop("grid_index")
     return nearest.join(mean, [*keys, "point_id"], "left").select(*keys, "point_id", F.coalesce("box", "near").alias("value"), F.coalesce("n", F.lit(0)).alias("n"))

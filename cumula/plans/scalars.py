@@ -274,6 +274,17 @@ def wetbulb_2m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("run", "grid_index", F.round(T.wetbulb(c("p_hpa"), c("t_c"), c("td_c")), 5).alias("wetbulb"), "t_c", "td_c")
 
 
+#: Forty halvings between dewpoint and temperature.
+WETBULB_2M_SQL = f"""
+with recursive {A.SURFACE_SQL},
+wet(run, grid_index, p, t, td, e, a, b, i) as (
+  select run, grid_index, p_hpa, t_c, td_c, 6.112 * exp(17.67 * td_c / (td_c + 243.5)), least(t_c, td_c), t_c, 0 from surface
+  union all
+  select run, grid_index, p, t, td, e, case when high then a else mid end, case when high then mid else b end, i + 1 from (
+    select *, 6.112 * exp(17.67 * mid / (mid + 243.5)) - 0.00066::double * (1 + 0.00115::double * mid) * p * (t - mid) > e as high from (select *, (a + b) / 2 as mid from wet where i < 40)))
+select run, grid_index, round((a + b) / 2, 5) as wetbulb, t as t_c, td as td_c from wet where i = 40
+"""
+
 QUERIES = {
     "scalar_moisture": scalar_moisture,
     "scalar_heat": scalar_heat,
@@ -296,4 +307,5 @@ ORACLES = {
     "scalar_text": SCALAR_TEXT_SQL,
     "forecast_schedule": FORECAST_SCHEDULE_SQL,
     "polygon_json": POLYGON_JSON_SQL,
+    "wetbulb_2m": WETBULB_2M_SQL,
 }
