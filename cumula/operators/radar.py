@@ -201,6 +201,149 @@ def storm_cores(gates: DataFrame, dbz: float, az_step: float, least: int, reach_
     return g.withColumn("rank", F.row_number().over(Win.partitionBy(*VOLUME).orderBy(F.desc("max_dbz"), "label")))
 
 
+#: Thresholds of the cell cascade in dBZ and the gates each needs (twice as many beyond 150 km).
+CELL_STEPS = ((60.0, 4), (55.0, 6), (50.0, 10), (45.0, 15), (40.0, 20), (35.0, 30))
+CELLS = "volume long, cell int, gates int, max_dbz double, mean_dbz double, threshold double, az double, range_km double"
+
+
+def cell_cascade(gates: DataFrame, az_step: float, reach_az: float = 2.0, reach_gates: int = 3, merge_km: float = 10.0, near: float = 10.0, far: float = 230.0) -> DataFrame:
+    """Storm cells of the lowest sweep by falling thresholds: (volume, cell, gates, max_dbz, mean_dbz, threshold, az, range_km).
+
+    At each threshold gates within ``reach_gates`` and ``reach_az`` degrees are
+    one group. A group with enough gates grows the first cell it overlaps, else
+    it is a new cell; groups of a level go from the strongest down. Then cells
+    whose Z-squared weighted centres are under ``merge_km`` apart merge, the
+    stronger keeping its place. A volume is the unit of work: its lowest sweep
+    has as many gates as the radar gives, and volumes run beside each other.
+    """
+    import numpy as np
+    import pandas as pd
+
+    lowest = F.min("elev").over(Win.partitionBy(*VOLUME))
+    least = CELL_STEPS[-1][0]
+    strong = gates.withColumn("_l", lowest).where((F.col("elev") == F.col("_l")) & (F.col("dbz") >= least) & F.col("range_km").between(near, far))
+    steps = int(reach_az / az_step + 1e-9)
+    turns = round(360 / az_step)
+
+    def groups(radial: np.ndarray, gate: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+        """Rows of each group among the rows ``own``, by search over a dictionary of places."""
+        place = {(int(radial[i]), int(gate[i])): int(i) for i in own}
+        out = []
+        while place:
+            start, i = place.popitem()
+            members, queue = [i], [start]
+            while queue:
+                r, g = queue.pop()
+                for dr in range(-steps, steps + 1):
+                    for dg in range(-reach_gates, reach_gates + 1):
+                        spot = ((r + dr) % turns, g + dg)
+                        if spot in place:
+                            members.append(place.pop(spot))
+                            queue.append(spot)
+            out.append(np.sort(np.array(members)))
+        return out
+
+    def centre(pdf: pd.DataFrame, rows: np.ndarray) -> tuple[float, float]:
+        w = 10.0 ** (pdf["dbz"].to_numpy()[rows] / 5)
+        a = np.radians(pdf["az"].to_numpy(float)[rows])
+        az = np.degrees(np.arctan2((np.sin(a) * w).sum(), (np.cos(a) * w).sum())) % 360
+        return float(az), float((pdf["range_km"].to_numpy()[rows] * w).sum() / w.sum())
+
+    def apart(one: tuple[float, float], two: tuple[float, float]) -> float:
+        d = abs(one[0] - two[0]) % 360
+        return float(np.hypot((one[1] + two[1]) / 2 * np.radians(min(d, 360 - d)), one[1] - two[1]))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["az", "gate"], kind="stable").reset_index(drop=True)
+        dbz, rng = pdf["dbz"].to_numpy(float), pdf["range_km"].to_numpy(float)
+        radial, gate = np.floor(pdf["az"].to_numpy(float) / az_step + 1e-9).astype(int), pdf["gate"].to_numpy(int)
+        cells: list[dict] = []
+        for step, need in CELL_STEPS:
+            found = [g for g in groups(radial, gate, np.flatnonzero(dbz >= step)) if len(g) >= need * (2 if rng[g].mean() > 150 else 1)]
+            for g in sorted(found, key=lambda g: (-dbz[g].max(), int(g[0]))):
+                own = set(g.tolist())
+                for c in cells:
+                    if c["rows"] & own:
+                        c["rows"] |= own
+                        break
+                else:
+                    cells.append({"rows": own, "step": step})
+        while True:
+            at = [centre(pdf, np.array(sorted(c["rows"]))) for c in cells]
+            pair = next(((i, j) for i in range(len(cells)) for j in range(i + 1, len(cells)) if apart(at[i], at[j]) < merge_km), None)
+            if pair is None:
+                break
+            peak = [dbz[list(cells[k]["rows"])].max() for k in pair]
+            keep, gone = pair if peak[0] >= peak[1] else pair[::-1]
+            cells[keep]["rows"] |= cells[gone]["rows"]
+            cells[keep]["step"] = max(cells[keep]["step"], cells[gone]["step"])
+            del cells[gone]
+        out = []
+        for c, (az, r) in zip(cells, at, strict=True):
+            z = dbz[sorted(c["rows"])]
+            out.append((key[0], len(z), float(z.max()), float(z.mean()), c["step"], az, r))
+        out.sort(key=lambda x: (-x[2], x[5]))
+        return pd.DataFrame([(v, i + 1, *rest) for i, (v, *rest) in enumerate(out)], columns=[c.split()[0] for c in CELLS.split(", ")])
+
+    return strong.select(*VOLUME, "az", "gate", "range_km", "dbz").groupBy(*VOLUME).applyInPandas(run, CELLS)
+
+
+def tvs_detections(gates: DataFrame, az_step: float, nyquist: float = 30.0, tilts: int = 3, least_dbz: float = 30.0) -> DataFrame:
+    """(volume, det, sweep, elev, az, gate, range_km, dv, kind): gate-to-gate differences over the threshold of their range.
+
+    ``azimuthal`` compares one gate on neighbouring radials around the circle,
+    ``radial`` gates up to three apart on one radial; only the lowest tilts,
+    100 km at most, and only where the nearest sweep's echo reaches ``least_dbz``.
+    """
+    low = F.dense_rank().over(Win.partitionBy(*VOLUME).orderBy("elev"))
+    own = gates.where("vel is not null and range_km <= 100").withColumn("_t", low).where(F.col("_t") <= tilts).drop("_t")
+    wrapped = own.unionByName(own.where(F.col("az") < az_step).withColumn("az", F.col("az") + 360))
+    w = Win.partitionBy(*VOLUME, "sweep", "gate").orderBy("az")
+    dv = F.abs(W.dealias_delta(F.lead("vel").over(w) - F.col("vel"), F.lit(nyquist)))
+    across = wrapped.withColumn("dv", F.when(F.lead("az").over(w) - F.col("az") <= az_step * 1.5, dv)).where(F.col("az") < 360)
+    across = across.where(F.col("dv") >= W.tvs_threshold(F.col("range_km"))).withColumn("kind", F.lit("azimuthal"))
+    along = tvs_candidates(gates, nyquist, tilts).join(own.select(*VOLUME, "sweep", "elev").distinct(), [*VOLUME, "sweep"]).withColumn("kind", F.lit("radial"))
+    names = [*VOLUME, "sweep", "elev", "az", "gate", "range_km", "dv", "kind"]
+    both = across.select(*names).unionByName(along.select(*names))
+    both = both.withColumn("det", F.concat_ws(":", "kind", "sweep", F.col("az").cast("int"), "gate"))
+    return lookup_reflectivity(both.select(*VOLUME, "det", *names[1:]), gates, az_step).where(F.col("dbz") >= least_dbz).drop("dbz")
+
+
+def match_tilts(detections: DataFrame, km: float = 10.0) -> DataFrame:
+    """(volume, group, tilts, det): detections (volume, det, tilt, az, range_km) of one place on several tilts.
+
+    From the lowest tilt up, a detection joins the first group whose base lies
+    under ``km`` away and that has none of its tilt yet, else it opens a group.
+    The fold goes over one volume's detections, which are few and bounded by its sweeps.
+    """
+    x, y = F.col("range_km") * F.sin(F.radians("az")), F.col("range_km") * F.cos(F.radians("az"))
+    rows = detections.select(*VOLUME, F.struct(F.col("tilt").cast("int").alias("tilt"), F.col("det").cast("string").alias("det"), x.alias("x"), y.alias("y")).alias("d"))
+    packed = rows.groupBy(*VOLUME).agg(F.array_sort(F.collect_list("d")).alias("all"))
+    kind = "array<struct<x:double,y:double,tilts:array<int>,dets:array<string>>>"
+
+    def put(acc: Column, d: Column) -> Column:
+        fits = lambda g: (F.sqrt((g["x"] - d["x"]) ** 2 + (g["y"] - d["y"]) ** 2) < km) & ~F.array_contains(g["tilts"], d["tilt"])
+        at = F.array_position(F.transform(acc, fits), F.lit(True))
+        grown = F.transform(acc, lambda g, i: F.when(i + 1 == at, F.struct(g["x"].alias("x"), g["y"].alias("y"), F.concat(g["tilts"], F.array(d["tilt"])).alias("tilts"), F.concat(g["dets"], F.array(d["det"])).alias("dets"))).otherwise(g))
+        fresh = F.concat(acc, F.array(F.struct(d["x"].alias("x"), d["y"].alias("y"), F.array(d["tilt"]).alias("tilts"), F.array(d["det"]).alias("dets"))))
+        return F.when(at > 0, grown).otherwise(fresh).cast(kind)
+
+    folded = packed.select(*VOLUME, F.posexplode(F.aggregate("all", F.array().cast(kind), put)).alias("group", "g"))
+    return folded.select(*VOLUME, "group", F.size("g.tilts").alias("tilts"), F.explode("g.dets").alias("det"))
+
+
+def mesocyclone_tilts(gates: DataFrame, az_step: float, least_tilts: int = 2, lowest: int = 4, least_dbz: float = 20.0) -> DataFrame:
+    """Rotation clusters of the lowest tilts with echo at their centre, found on two tilts or more at one place."""
+    low = F.dense_rank().over(Win.partitionBy(*VOLUME).orderBy("elev"))
+    own = gates.withColumn("tilt", low).where(F.col("tilt") <= lowest)
+    tilt = own.select(*VOLUME, "sweep", "tilt").distinct()
+    c = meso_clusters(candidate_components(shear_candidates(own.drop("tilt"), max_gap=az_step), az_step))
+    named = c.withColumn("det", F.concat_ws(":", "sweep", "label")).join(tilt, [*VOLUME, "sweep"])
+    seen = lookup_reflectivity(named, own.drop("tilt"), az_step).where(F.col("dbz") >= least_dbz)
+    groups = match_tilts(seen.select(*VOLUME, "det", "tilt", "az", "range_km")).where(F.col("tilts") >= least_tilts)
+    return seen.join(groups, [*VOLUME, "det"]).drop("tilt", "dbz")
+
+
 def associate(detections: DataFrame, cells: DataFrame, km: float) -> DataFrame:
     """Detections (volume, det, az, range_km) with the rank of the nearest storm cell within ``km``, else 0."""
     x = lambda az, r: r * F.sin(F.radians(az))

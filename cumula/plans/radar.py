@@ -203,6 +203,35 @@ def dealias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dealias_sweeps(A.gates(spark, sf_dir).select("volume", "sweep", "az", "gate", "vel"), 20.0)
 
 
+def cell_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Storm cells of every volume by falling thresholds; gates ten dBZ stronger, so that some reach the highest."""
+    g = A.gates(spark, sf_dir).withColumn("dbz", F.col("dbz") - 5 + (F.col("gate") % 3) * 4)
+    return _r(R.cell_cascade(g, 4.0, 4.0), 5)
+
+
+def tvs_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gate-to-gate differences across and along radials with echo, over their range's threshold."""
+    return _r(R.tvs_detections(A.gates(spark, sf_dir), 4.0).select("volume", "sweep", "az", "gate", "range_km", "dv", "kind"))
+
+
+TVS_DETECTIONS_SQL = f"""
+with {A.GATES_SQL}, t as (select *, dense_rank() over (partition by volume order by elev) as t from gates where range_km <= 100),
+low as (select * from t where t <= 3), wr as (select * from low union all select volume, sweep, elev, az + 360, gate, range_km, dbz, vel, t from low where az < 4),
+l as (select *, lead(az) over w as az1, lead(vel) over w - vel as d from wr window w as (partition by volume, sweep, gate order by az)),
+al as (select a.*, b.vel - a.vel as d from low a join low b on a.volume = b.volume and a.sweep = b.sweep and a.az = b.az and b.gate > a.gate and b.gate - a.gate <= 3),
+p as (select volume, sweep, elev, az, gate, range_km, d, 'azimuthal' as kind from l where az < 360 and az1 - az <= 6 union all select volume, sweep, elev, az, gate, range_km, d, 'radial' from al),
+f as (select volume, sweep, elev, az, gate, range_km, kind, max(abs(case when d > 30 then d - 60 * ceil((d - 30) / 60) when d < -30 then d + 60 * ceil((-30 - d) / 60) else d end)) as dv from p group by all),
+c as (select * from f where dv >= 30 - 10 * least(1, range_km / 100)),
+z as (select c.*, g.dbz, row_number() over (partition by c.volume, c.kind, c.sweep, c.az, c.gate order by abs(g.elev - c.elev), g.elev) as r from c join gates g on g.volume = c.volume and g.az = c.az and g.gate = c.gate)
+select volume, sweep, az, gate, range_km, round(dv, 6) as dv, kind from z where r = 1 and dbz >= 30
+"""
+
+
+def mesocyclone_tilts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rotation found on two tilts or more of one place."""
+    return _r(R.mesocyclone_tilts(A.gates(spark, sf_dir), 4.0), 5)
+
+
 def volume_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detections of each volume in one row."""
     g = A.gates(spark, sf_dir)
@@ -214,8 +243,8 @@ def volume_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.volume_frame(cells=cells.select("volume", "rank", "max_dbz", "gates"), rotations=tied, tvs=R.keep_strongest(tvs, ["volume"], 2.0, 3.0, "dv").select("volume", "id", "dv", "members"))
 
 
-QUERIES = {f.__name__: f for f in (radar_vil, radar_tops, radar_motion, radar_srv, shear_candidates, mesocyclones, tvs_candidates, high_z_hail, tbss, tds_candidates, tds_scores, storm_cells, meso_reflectivity, radar_inventory, dealias, volume_frames)}
+QUERIES = {f.__name__: f for f in (radar_vil, radar_tops, radar_motion, radar_srv, shear_candidates, mesocyclones, tvs_candidates, high_z_hail, tbss, tds_candidates, tds_scores, storm_cells, meso_reflectivity, radar_inventory, dealias, volume_frames, cell_cascade, tvs_detections, mesocyclone_tilts)}
 ORACLES = {
     "radar_vil": RADAR_VIL_SQL, "radar_tops": RADAR_TOPS_SQL, "radar_motion": RADAR_MOTION_SQL, "radar_srv": RADAR_SRV_SQL, "shear_candidates": SHEAR_CANDIDATES_SQL, "mesocyclones": MESOCYCLONES_SQL, "tvs_candidates": TVS_CANDIDATES_SQL,
-    "high_z_hail": HIGH_Z_HAIL_SQL, "tbss": TBSS_SQL, "tds_scores": TDS_SCORES_SQL, "storm_cells": STORM_CELLS_SQL, "meso_reflectivity": MESO_REFLECTIVITY_SQL, "radar_inventory": RADAR_INVENTORY_SQL,
+    "high_z_hail": HIGH_Z_HAIL_SQL, "tbss": TBSS_SQL, "tds_scores": TDS_SCORES_SQL, "storm_cells": STORM_CELLS_SQL, "meso_reflectivity": MESO_REFLECTIVITY_SQL, "radar_inventory": RADAR_INVENTORY_SQL, "tvs_detections": TVS_DETECTIONS_SQL,
 }

@@ -16,6 +16,14 @@ from cumula.plans.stencils import DX, DY, ROUTE_SQL, _route
 from cumula.shared import new_path, written
 
 
+#: Added before rounding in both forms: quotients of short decimals often end in a 5, where the last bit would decide.
+_NUDGE = 3.3e-9
+
+
+def _n(df: DataFrame, digits: int = 6) -> DataFrame:
+    return _r(df.select(*(F.col(c) + _NUDGE if t == "double" else F.col(c) for c, t in df.dtypes)).toDF(*df.columns), digits)
+
+
 def _products(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Products of every run, humidity only in even runs and one product without values; and the wanted slugs."""
     s = A.surface(spark, sf_dir)
@@ -76,17 +84,17 @@ def case_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = A.cells(spark, sf_dir), F.col("n_nationkey")
     routes = A.table(spark, sf_dir, "nation").select(n.cast("long").alias("route_id"), (26.03 + n * 7 % 8).alias("lat0"), (-123.07 + n * 5 % 27).alias("lon0"), F.lit(29.92).alias("lat1"), F.lit(-110.21).alias("lon1"))
     v = c.where("fhr = 1").select("run", "grid_index", "value")
-    return _r(Q.extract_case(v, _grid(c), ["run"], A.polygons(spark, sf_dir), A.points(spark, sf_dir), routes, {"over_20": 20.0}))
+    return _n(Q.extract_case(v, _grid(c), ["run"], A.polygons(spark, sf_dir), A.points(spark, sf_dir), routes, {"over_20": 20.0}))
 
 
 _CASE_STATS = {"count": "count(value)", "min": "min(value)", "max": "max(value)", "mean": "avg(value)"} | {f"p{q}": f"quantile_cont(value, {q / 100})" for q in (10, 25, 50, 75, 90)}
 CASE_EXTRACT_SQL = f"""
-with tr as ({TRANSECT_SQL}), pts as (with {NEAR_SQL} select run, point_id, value from near join cells using (grid_index) where rank = 1 and fhr = 1),
+with tr as ({TRANSECT_SQL.replace(", 6) as", " + 3.3e-9, 6) as")}), pts as (with {NEAR_SQL} select run, point_id, value from near join cells using (grid_index) where rank = 1 and fhr = 1),
 ar as (with {MEMBER_SQL} select run, poly_id, value from cells join member using (grid_index) where fhr = 1),
 st as (select run, poly_id, {", ".join(f"({e})::double as {n}" for n, e in _CASE_STATS.items())}, count(*) filter (where value >= 20) as hits from ar group by 1, 2)
-select run, 'patch' as kind, poly_id::varchar as id, unnest([{", ".join(f"'{n}'" for n in _CASE_STATS)}]) as stat, unnest([{", ".join(f"round({n}, 6)" for n in _CASE_STATS)}]) as value from st
-union all select run, 'threshold', poly_id::varchar, unnest(['valid', 'n_over_20', 'share_over_20']), unnest([count, hits::double, round(hits / nullif(count, 0), 6)]) from st
-union all select run, 'point', point_id::varchar, 'value', round(value, 6) from pts
+select run, 'patch' as kind, poly_id::varchar as id, unnest([{", ".join(f"'{n}'" for n in _CASE_STATS)}]) as stat, unnest([{", ".join(f"round({n} + 3.3e-9, 6)" for n in _CASE_STATS)}]) as value from st
+union all select run, 'threshold', poly_id::varchar, unnest(['valid', 'n_over_20', 'share_over_20']), unnest([count, hits::double, round(hits / nullif(count, 0) + 3.3e-9, 6)]) from st
+union all select run, 'point', point_id::varchar, 'value', round(value + 3.3e-9, 6) from pts
 union all select run, 'transect', route_id::varchar || ':' || seq::varchar, unnest(['value', 'distance_km']), unnest([value, distance_km]) from tr
 """
 
@@ -98,14 +106,14 @@ def mosaic_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = c.select("run", "fhr", ts.alias("valid_ts")).distinct()
     there = c.where("not (fhr = 6 and run % 2 = 0)").select("run", "fhr", "grid_index", "value")
     got = Q.mosaic_series(files, there, _grid(c), A.polygons(spark, sf_dir), ["run", "fhr"], F.timestamp_micros(F.lit(3_601_500_000)), 0.1, {"over_2": 2.0})
-    return _r(got.drop("valid_ts"))
+    return _n(got.drop("valid_ts"))
 
 
 MOSAIC_SERIES_SQL = f"""
 with {MEMBER_SQL}, f as (select distinct run, fhr, (run * 3600 + fhr * 601 - 3601.5) / 60 as m from cells),
 l as (select run, fhr, case when round(m) = 0 then 'T0' when m < 0 then 'T_minus_' || (-round(m))::bigint::varchar || 'min' else 'T_plus_' || round(m)::bigint::varchar || 'min' end as time_label from f),
 v as (select run, fhr, poly_id, case when grid_index % 41 <> 0 then value * 0.1::double end as value from cells join member using (grid_index) where not (fhr = 6 and run % 2 = 0)),
-s as (select run, fhr, poly_id, count(*) as included, count(value) as valid, count(*) - count(value) as missing, round(min(value), 6) as min, round(max(value), 6) as max, round(avg(value), 6) as mean, count(*) filter (where value >= 2) as n_over_2, round(count(*) filter (where value >= 2) / nullif(count(value), 0), 6) as share_over_2 from v group by 1, 2, 3)
+s as (select run, fhr, poly_id, count(*) as included, count(value) as valid, count(*) - count(value) as missing, round(min(value) + 3.3e-9, 6) as min, round(max(value) + 3.3e-9, 6) as max, round(avg(value) + 3.3e-9, 6) as mean, count(*) filter (where value >= 2) as n_over_2, round(count(*) filter (where value >= 2) / nullif(count(value), 0) + 3.3e-9, 6) as share_over_2 from v group by 1, 2, 3)
 select l.run, l.fhr, time_label, poly_id, included, valid, missing, min, max, mean, n_over_2, share_over_2, case when poly_id is null then 'no values' end as error from l left join s using (run, fhr)
 """
 
@@ -113,7 +121,7 @@ select l.run, l.fhr, time_label, poly_id, included, valid, missing, min, max, me
 def box_soundings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Box-mean column of every point and run, surface first."""
     s = A.surface(spark, sf_dir).withColumn("p_hpa", F.col("p_hpa") + 60)
-    return _r(Q.box_sounding(A.levels(spark, sf_dir), s.withColumnRenamed("orog_m", "z_m"), _grid(A.cells(spark, sf_dir)), A.points(spark, sf_dir), ["run"], 25.0), 5)
+    return _n(Q.box_sounding(A.levels(spark, sf_dir), s.withColumnRenamed("orog_m", "z_m"), _grid(A.cells(spark, sf_dir)), A.points(spark, sf_dir), ["run"], 25.0), 5)
 
 
 BOX_SOUNDINGS_SQL = f"""
@@ -128,13 +136,13 @@ m as (select run, point_id, k, avg(p_hpa) as p_hpa, avg(z_m) as z_m, avg(t_c) as
 w as (select m.* from m left join (select run, point_id, p_hpa as p0, z_m as z0 from m where k = -1) g using (run, point_id) where k = -1 or (p_hpa < p0 - 0.1 and z_m > z0 + 1)),
 e as (select *, greatest(greatest(q, 0) * p_hpa / (0.622 + greatest(q, 0)), 1e-10) as e from w where q is not null),
 t as (select *, least(243.5 * ln(e / 6.112) / (17.67 - ln(e / 6.112)), t_c) as td_c, max(z_m) over b as zb, min(p_hpa) over b as pb from e window b as (partition by run, point_id order by p_hpa desc, k rows between unbounded preceding and 1 preceding))
-select run, point_id, k, round(p_hpa, 5) as p_hpa, round(z_m, 5) as z_m, round(t_c, 5) as t_c, round(u, 5) as u, round(v, 5) as v, round(td_c, 5) as td_c from t where zb is null or (z_m > zb + 1e-6 and p_hpa < pb - 1e-6)
+select run, point_id, k, round(p_hpa + 3.3e-9, 5) as p_hpa, round(z_m + 3.3e-9, 5) as z_m, round(t_c + 3.3e-9, 5) as t_c, round(u + 3.3e-9, 5) as u, round(v + 3.3e-9, 5) as v, round(td_c + 3.3e-9, 5) as td_c from t where zb is null or (z_m > zb + 1e-6 and p_hpa < pb - 1e-6)
 """
 
 
 def updraft_helicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updraft helicity of 2 to 5 km of every column."""
-    return _r(Q.updraft_helicity(A.levels(spark, sf_dir), ["run"], DX, DY), 6)
+    return _n(Q.updraft_helicity(A.levels(spark, sf_dir), ["run"], DX, DY), 6)
 
 
 UPDRAFT_HELICITY_SQL = f"""
@@ -145,7 +153,7 @@ g as (select *, case when lead(x) over r = x + 1 and lag(x) over r = x - 1 then
 n as (select *, w * rel as h, lead(z_m) over o as z1, lead(w) over o as w1, lead(w * rel) over o as h1 from g window o as (partition by run, grid_index order by k)),
 s as (select *, greatest(z_m, 2000) as za, least(z1, 5000) as zb from n where z1 > 2000 and z_m < 5000),
 e as (select *, w + (za - z_m) / (z1 - z_m) * (w1 - w) as wa, w + (zb - z_m) / (z1 - z_m) * (w1 - w) as wb, h + (za - z_m) / (z1 - z_m) * (h1 - h) as ha, h + (zb - z_m) / (z1 - z_m) * (h1 - h) as hb from s)
-select run, grid_index, round(case when sum((wa + wb) / 2 * (zb - za)) > 0 then sum((ha + hb) / 2 * (zb - za)) else 0 end, 6) as uh from e group by 1, 2
+select run, grid_index, round(case when sum((wa + wb) / 2 * (zb - za)) > 0 then sum((ha + hb) / 2 * (zb - za)) else 0 end + 3.3e-9, 6) as uh from e group by 1, 2
 """
 
 
@@ -208,7 +216,7 @@ select run, grid_index, round(greatest(es - 6.112 * exp(17.67 * td / (td + 243.5
 def column_kinematics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shears and mean wind of every column, its lowest level taken as the ground."""
     lv = A.levels(spark, sf_dir).withColumn("z_m", F.when(F.col("k") == 0, 0.0).otherwise(F.col("z_m")))
-    return _r(Q.column_kinematics(lv, ["run", "grid_index"]), 6)
+    return _n(Q.column_kinematics(lv, ["run", "grid_index"]), 6)
 
 
 COLUMN_KINEMATICS_SQL = f"""
@@ -217,7 +225,7 @@ pr as (select *, lead(z) over w as z1, lead(u) over w as u1, lead(v) over w as v
 h as (select run, grid_index, {", ".join(f"max(case when z <= {t} and z1 > {t} then {c} + ({t} - z) / (z1 - z) * ({c}1 - {c}) end) as {c}{t}" for c in "uv" for t in (0, 1000, 3000, 6000, 8000))} from pr group by 1, 2),
 s as (select *, least(z1, 6000) as zb from pr where z1 > 0 and z < 6000),
 m as (select run, grid_index, {", ".join(f"sum(({c} + {c} + (zb - z) / (z1 - z) * ({c}1 - {c})) / 2 * (zb - z)) / sum(zb - z) as m{c}" for c in "uv")} from s group by 1, 2)
-select run, grid_index, {", ".join(f"round(sqrt((u{t} - u0) ** 2 + (v{t} - v0) ** 2), 6) as shear_0_{t // 1000}km" for t in (1000, 3000, 6000, 8000))}, round(mu, 6) as mean_u, round(mv, 6) as mean_v from h join m using (run, grid_index)
+select run, grid_index, {", ".join(f"round(sqrt((u{t} - u0) ** 2 + (v{t} - v0) ** 2) + 3.3e-9, 6) as shear_0_{t // 1000}km" for t in (1000, 3000, 6000, 8000))}, round(mu + 3.3e-9, 6) as mean_u, round(mv + 3.3e-9, 6) as mean_v from h join m using (run, grid_index)
 """
 
 
