@@ -142,9 +142,9 @@ def _section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Temperature, humidity, wind and others of each section, ground masked at 930.5 hPa, summed up by level."""
+    """Temperature, humidity, wind and others of each section, ground masked at 930 hPa, summed up by level."""
     s = SE.section_wind(SE.section_values(_section(spark, sf_dir)))
-    ground = s.where("seq % 2 = 0").select("route_id", "seq", F.lit(930.5).alias("psfc_hpa")).distinct()
+    ground = s.where("seq % 2 = 0").select("route_id", "seq", F.lit(930.0).alias("psfc_hpa")).distinct()
     names = ["relative_humidity", "theta_e", "wind_speed", "wet_bulb", "vpd", "dewpoint_depression", "moisture_transport", "specific_humidity", "along", "left_wind"]
     m = SE.mask_terrain(s, ground, names)
     return _r(m.groupBy("run", "route_id", "k").agg(F.count("relative_humidity").alias("n"), *((F.avg(c) + 3.3e-9).alias(c) for c in ["temperature", *names])), 4)
@@ -162,8 +162,8 @@ sec as (select run, route_id, near.seq, k, {", ".join(f"sum({n} / score) / nulli
 )
 SECTION_PRODUCTS_SQL = f"""
 with {SECTION_SQL},
-b as (select sec.*, radians(bearing) as br, 6.112 * exp(17.67 * t_c / (t_c + 243.5)) as es, 6.1078 * exp(17.27 * t_c / (t_c + 237.3)) as et, q * p_hpa / (0.622 + q) as e, sec.seq % 2 = 1 or p_hpa <= 930.5 as seen from sec join route using (route_id, seq)),
-d as (select *, 243.5 * ln(e / 6.112) / (17.67 - ln(e / 6.112)) as td, greatest(0, least(100, 100 * e / es)) as rh, sqrt(u * u + v * v) as ws from b),
+b as (select sec.*, radians(bearing) as br, 6.112 * exp(17.67 * t_c / (t_c + 243.5)) as es, 6.1078 * exp(17.27 * t_c / (t_c + 237.3)) as et, q * p_hpa / (0.622 + q) as e, sec.seq % 2 = 1 or p_hpa <= 930 as seen from sec join route using (route_id, seq)),
+d as (select *, 243.5 * ln(e / 6.112) / (17.67 - ln(e / 6.112)) as td, case when e is not null then greatest(0, least(100, 100 * e / es)) end as rh, sqrt(u * u + v * v) as ws from b),
 f as (select *, 6.112 * exp(17.67 * td / (td + 243.5)) as ed from d),
 g as (select *, 0.622 * ed / (p_hpa - ed) as r, 1 / (1 / (td + 273.15 - 56) + ln((t_c + 273.15) / (td + 273.15)) / 800) + 56 as tl from f)
 select run, route_id, k, count(rh) filter (where seen) as n, round(avg(t_c) + 3.3e-9, 4) as temperature, round(avg(rh) filter (where seen) + 3.3e-9, 4) as relative_humidity,
