@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cumula.llm.common import durable
+from cumula.llm.common import durable, slices
 
 #: Least characters of a line that takes part, and the segments of a line at the second level; the edit bound is one.
 MIN_CHARS, SEGMENTS = 10, 16
@@ -68,7 +68,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, th, line, h, g, n, k) of every line that takes part; k: its keys in two halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, ths, at, hs, gs, ns, ks = [], [], [], [], [], [], []
             for d, th, t in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for i, s in eligible(t, min_chars):
@@ -90,7 +90,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def _second_level(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [(r, c, j, k) for r, s in enumerate(b.column("s").to_pylist()) for c, j, k in segment_keys(s, SEGMENTS)]
             rows = pa.array([f[0] for f in found], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("h").take(rows), b.column("g").take(rows), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), _signed([f[3] for f in found])], names=["h", "g", "c", "j", "key"])
@@ -102,7 +102,7 @@ def _third_level(lines: DataFrame) -> DataFrame:
     """Deletion variants in the segments left, and the line itself as kind 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = []
             for r, (s, parts) in enumerate(zip(b.column("s").to_pylist(), b.column("parts").to_pylist(), strict=True)):
                 found.append((r, 0, -1, xxhash.xxh64_intdigest(s.encode())))
