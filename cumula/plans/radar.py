@@ -203,10 +203,15 @@ def dealias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dealias_sweeps(A.gates(spark, sf_dir).select("volume", "sweep", "az", "gate", "vel"), 20.0)
 
 
+def _coarse(g: DataFrame) -> DataFrame:
+    """Gates four times as long, so that neighbours are there in small tables too."""
+    gate = F.expr("gate div 4")
+    return g.groupBy("volume", "sweep", "elev", "az", gate.alias("gate")).agg(F.max("dbz").alias("dbz"), F.max("vel").alias("vel")).withColumn("range_km", 2.0 + 4 * F.col("gate"))
+
+
 def cell_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Storm cells of every volume by falling thresholds; gates ten dBZ stronger, so that some reach the highest."""
-    g = A.gates(spark, sf_dir).withColumn("dbz", F.col("dbz") - 5 + (F.col("gate") % 3) * 4)
-    return _r(R.cell_cascade(g, 4.0, 4.0), 5)
+    """Storm cells of every volume by falling thresholds."""
+    return _r(R.cell_cascade(_coarse(A.gates(spark, sf_dir)), 4.0, 4.0), 5)
 
 
 def tvs_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +234,7 @@ select volume, sweep, az, gate, range_km, round(dv, 6) as dv, kind from z where
 
 def mesocyclone_tilts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rotation found on two tilts or more of one place."""
-    return _r(R.mesocyclone_tilts(A.gates(spark, sf_dir), 4.0), 5)
+    return _r(R.mesocyclone_tilts(_coarse(A.gates(spark, sf_dir)), 4.0), 5)
 
 
 def volume_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
