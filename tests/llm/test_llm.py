@@ -405,3 +405,21 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()} == ids
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_empty_tables(spark, odd, docs):
+    """Operators without rows give an empty result with their columns."""
+    none = odd.limit(0)
+    assert sentencepiece_codec.encode_digests(none, PIECES).count() == 0
+    assert mpeg_audio.media_digests(none).count() == 0
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    model = cotraining.fit(none, labels)
+    assert cotraining.score(none, model).count() == 0
+    assert cotraining.score(odd, model).count() == len(ODD)
+    assert packing.pack(none).count() == 0 and simhash.near_duplicates(none).count() == 0
+
+
+def test_clashing_columns_in_stages(spark, sf, odd):
+    clash = odd.withColumnRenamed("score", "_toxicity").withColumn("_keep", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, clash, sf).columns == clash.columns, name
