@@ -71,7 +71,23 @@ select run, grid_index, round(sqrt((ub - ua) ** 2 + (vb - va) ** 2), 6) as shear
 def wind_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Helicity and shear for the right mover of every column whose lowest level is at 50 m."""
     lv = A.levels(spark, sf_dir).withColumn("z_m", F.when(F.col("k") == 0, 0.0).otherwise(F.col("z_m")))
-    return _r(C.wind_bundle(lv, COL), 6)
+    w = C.wind_bundle(lv, COL)
+    return _r(w.select(*COL, *((F.col(c) + 3.3e-9).alias(c) for c in w.columns if c not in COL)), 6)
+
+
+WIND_BUNDLE_SQL = f"""
+with {A.LEVELS_SQL}, l as (select run, grid_index, k, case when k = 0 then 0 else z_m end as z, u, v from levels),
+pr as (select *, lead(z) over w as z1, lead(u) over w as u1, lead(v) over w as v1 from l window w as (partition by run, grid_index order by z)),
+cut as (select *, greatest(z, l0) as za, least(z1, l1) as zb from pr, (values (0.0::double, 6000.0::double), (0, 500), (5500, 6000), (0, 1000), (0, 3000)) as y(l0, l1) where z1 > l0 and z < l1),
+e as (select run, grid_index, l0, l1, zb - za as dz, u + (za - z) / (z1 - z) * (u1 - u) as a, u + (zb - z) / (z1 - z) * (u1 - u) as b, v + (za - z) / (z1 - z) * (v1 - v) as c, v + (zb - z) / (z1 - z) * (v1 - v) as d from cut),
+m as (select run, grid_index, l0, l1, sum((a + b) / 2 * dz) / sum(dz) as mu, sum((c + d) / 2 * dz) / sum(dz) as mv from e group by 1, 2, 3, 4),
+b as (select run, grid_index, {", ".join(f"max(m{c}) filter (where {w}) as {n}{c}" for n, w in (("w", "l0 = 0 and l1 = 6000"), ("l", "l1 = 500"), ("h", "l0 = 5500")) for c in "uv")} from m group by 1, 2),
+t as (select run, grid_index, wu + 7.5 * (hv - lv) / sqrt((hu - lu) ** 2 + (hv - lv) ** 2) as cu, wv - 7.5 * (hu - lu) / sqrt((hu - lu) ** 2 + (hv - lv) ** 2) as cv from b),
+s as (select run, grid_index, l1, any_value(cu) as cu, any_value(cv) as cv, sum((b - cu) * (c - cv) - (a - cu) * (d - cv)) as srh from e join t using (run, grid_index) where l0 = 0 and l1 in (1000, 3000) group by 1, 2, 3),
+x as (select run, grid_index, max(u) filter (where k = 1) as u0, max(v) filter (where k = 1) as v0, max(case when z <= 6000 and z1 > 6000 then u + (6000 - z) / (z1 - z) * (u1 - u) end) as ut, max(case when z <= 6000 and z1 > 6000 then v + (6000 - z) / (z1 - z) * (v1 - v) end) as vt from pr group by 1, 2)
+select run, grid_index, round(max(srh) filter (where l1 = 1000) + 3.3e-9, 6) as srh_0_1km, round(max(srh) filter (where l1 = 3000) + 3.3e-9, 6) as srh_0_3km, round(any_value(sqrt((ut - u0) ** 2 + (vt - v0) ** 2)) + 3.3e-9, 6) as shear_0_6km, round(any_value(cu) + 3.3e-9, 6) as cu, round(any_value(cv) + 3.3e-9, 6) as cv
+from s join x using (run, grid_index) group by 1, 2
+"""
 
 
 def lapse_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,6 +219,6 @@ select run, grid_index, round(sum((greatest(a, 0) + greatest(b, 0)) / 2 * (zb -
 
 QUERIES = {f.__name__: f for f in (interp_levels, heights_agl, column_winds, wind_bundle, lapse_rates, column_water, sea_level_pressure, column_extremes, level_checks, level_means, shear_pairs, layer_table, buoyancy_layer)}
 ORACLES = {
-    "interp_levels": INTERP_LEVELS_SQL, "heights_agl": HEIGHTS_AGL_SQL, "column_winds": COLUMN_WINDS_SQL, "lapse_rates": LAPSE_RATES_SQL, "column_water": COLUMN_WATER_SQL, "sea_level_pressure": SEA_LEVEL_PRESSURE_SQL,
+    "interp_levels": INTERP_LEVELS_SQL, "heights_agl": HEIGHTS_AGL_SQL, "column_winds": COLUMN_WINDS_SQL, "wind_bundle": WIND_BUNDLE_SQL, "lapse_rates": LAPSE_RATES_SQL, "column_water": COLUMN_WATER_SQL, "sea_level_pressure": SEA_LEVEL_PRESSURE_SQL,
     "column_extremes": COLUMN_EXTREMES_SQL, "level_checks": LEVEL_CHECKS_SQL, "level_means": LEVEL_MEANS_SQL, "shear_pairs": SHEAR_PAIRS_SQL, "layer_table": LAYER_TABLE_SQL, "buoyancy_layer": BUOYANCY_LAYER_SQL,
 }
