@@ -82,9 +82,11 @@ def srh(levels: DataFrame, motion: DataFrame, keys: list[str], z0: float, z1: fl
 
 def bunkers(levels: DataFrame, keys: list[str]) -> DataFrame:
     """Right-mover motion (keys, cu, cv): 0-6 km mean wind and 7.5 m/s to the right of the shear (Bunkers et al. 2000)."""
-    mean = mean_wind(levels, keys, 0.0, 6000.0)
-    low, high = (mean_wind(levels, keys, a, b).toDF(*keys, f"u{i}", f"v{i}") for i, (a, b) in enumerate(((0.0, 500.0), (5500.0, 6000.0))))
-    s = mean.join(low, keys).join(high, keys)
+    layers = {"mean_{}": (0.0, 6000.0), "{}0": (0.0, 500.0), "{}1": (5500.0, 6000.0)}
+    p = _layer_pieces(levels, keys, list(layers.values()))
+    own = lambda ab, x: F.sum(F.when((F.col("z0") == ab[0]) & (F.col("z1") == ab[1]), x))
+    mean = lambda n, ab: F.try_divide(own(ab, (F.col(f"{n}a") + F.col(f"{n}b")) / 2 * F.col("dz")), own(ab, F.col("dz")))
+    s = p.groupBy(*keys).agg(*(mean(n, ab).alias(name.format(n)) for name, ab in layers.items() for n in ("u", "v"))).where("u0 is not null and u1 is not null and mean_u is not null")
     du, dv = F.col("u1") - F.col("u0"), F.col("v1") - F.col("v0")
     n = F.sqrt(du * du + dv * dv)
     return s.select(*keys, (F.col("mean_u") + 7.5 * F.try_divide(dv, n)).alias("cu"), (F.col("mean_v") - 7.5 * F.try_divide(du, n)).alias("cv"))
@@ -175,15 +177,21 @@ def max_shear_pairs(levels: DataFrame, keys: list[str], low: tuple[float, float]
     return a.join(b, keys).select(*keys, F.array_max(pairs).alias("shear"))
 
 
-def layer_table(levels: DataFrame, motion: DataFrame, keys: list[str], layers: list[tuple[float, float]]) -> DataFrame:
-    """(keys, z0, z1, mean_u, mean_v, srh, sr_wind) of every layer, in one pass over the pieces of columns."""
+def _layer_pieces(levels: DataFrame, keys: list[str], layers: list[tuple[float, float]]) -> DataFrame:
+    """Pieces (keys, z0, z1, dz, ua, ub, va, vb) of each column in every layer, ends cut by interpolation; one window."""
     nxt = _next(keys, "z_m")
     names = ("u", "v")
     p = levels.select(*keys, F.col("z_m").alias("_z0"), nxt("z_m").alias("_z1"), *(F.col(n).alias(f"_{n}0") for n in names), *(nxt(n).alias(f"_{n}1") for n in names)).where("_z1 is not null")
     p = p.select("*", F.inline(F.array(*(F.struct(F.lit(a).alias("z0"), F.lit(b).alias("z1")) for a, b in layers)))).where("_z1 > z0 and _z0 < z1")
     p = p.withColumns({"za": F.greatest("_z0", "z0"), "zb": F.least("_z1", "z1")})
     at = lambda n, z: F.col(f"_{n}0") + (F.col(z) - F.col("_z0")) / (F.col("_z1") - F.col("_z0")) * (F.col(f"_{n}1") - F.col(f"_{n}0"))
-    p = p.select(*keys, "z0", "z1", (F.col("zb") - F.col("za")).alias("dz"), *(at(n, z).alias(f"{n}{s}") for n in names for s, z in (("a", "za"), ("b", "zb")))).join(motion, keys)
+    return p.select(*keys, "z0", "z1", (F.col("zb") - F.col("za")).alias("dz"), *(at(n, z).alias(f"{n}{s}") for n in names for s, z in (("a", "za"), ("b", "zb"))))
+
+
+def layer_table(levels: DataFrame, motion: DataFrame, keys: list[str], layers: list[tuple[float, float]]) -> DataFrame:
+    """(keys, z0, z1, mean_u, mean_v, srh, sr_wind) of every layer, in one pass over the pieces of columns."""
+    p = _layer_pieces(levels, keys, layers).join(motion, keys)
+    names = ("u", "v")
     cross = (F.col("ub") - F.col("cu")) * (F.col("va") - F.col("cv")) - (F.col("ua") - F.col("cu")) * (F.col("vb") - F.col("cv"))
     got = p.groupBy(*keys, "z0", "z1", "cu", "cv").agg(*((F.sum((F.col(f"{n}a") + F.col(f"{n}b")) / 2 * F.col("dz")) / F.sum("dz")).alias(f"mean_{n}") for n in names), F.sum(cross).alias("srh"))
     return got.withColumn("sr_wind", wind_speed(F.col("mean_u") - F.col("cu"), F.col("mean_v") - F.col("cv"))).drop("cu", "cv")
