@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KAPPA, RD, CP, LV, EPS, G = 0.2854, 287.04, 1004.0, 2.501e6, 0.622, 9.81
 # Fixed values of the entrainment parameter.
 MIXING_K2, ALPHA, MIXING_M, PRANDTL, SIGMA = 0.18, 0.8, 120.0, 1 / 3, 1.6
+NUMBERS = ("cape", "cin", "lcl_m", "lfc_m", "el_m", "lifted_index", "ecape")
 OUT = "kind string, cape double, cin double, lcl_m double, lfc_m double, el_m double, lifted_index double, ecape double, failed boolean"
 
 
@@ -35,105 +36,137 @@ def _moist(t: np.ndarray, p0: np.ndarray, p1: np.ndarray, steps: int = 10) -> np
     return k - 273.15
 
 
-def ascend(p: np.ndarray, z: np.ndarray, t: np.ndarray, r: np.ndarray, p0: float, t0: float, r0: float, speed: float) -> dict:
-    """Lift one parcel through one column (surface first).
+def _at(x: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Each row's value at its own place."""
+    return np.take_along_axis(x, j[:, None], 1)[:, 0]
+
+
+def _share(lo: np.ndarray, hi: np.ndarray, p: np.ndarray | float) -> np.ndarray:
+    """How far p lies from lo to hi in the logarithm of pressure; 0 where the two are one."""
+    span = np.log(lo / hi)
+    return np.where(span > 0, np.log(lo / p) / np.where(span > 0, span, 1), 0.0)
+
+
+def ascend(p: np.ndarray, z: np.ndarray, t: np.ndarray, r: np.ndarray, start: np.ndarray, t0: np.ndarray, r0: np.ndarray, speed: np.ndarray) -> dict[str, np.ndarray]:
+    """Lift one parcel through each column (a row, surface first) from its level ``start``.
 
     Virtual temperatures are compared; layers are integrated by the trapezoid
     rule. ECAPE follows the analytic entraining form of Peters et al. (2023)
-    with the given storm-relative inflow speed.
+    with the given storm-relative inflow speed. What a column lacks is NaN.
+    Levels below the start count as the start itself, so their layers have no
+    depth; the condensation level is one more level of every column.
     """
-    e0 = max(r0 * p0 / (EPS + r0), 1e-6)
-    td0 = min(t0, 243.5 * np.log(e0 / 6.112) / (17.67 - np.log(e0 / 6.112)))
-    tl = 1 / (1 / (td0 + 273.15 - 56) + np.log((t0 + 273.15) / (td0 + 273.15)) / 800) + 56
-    pl = p0 * (tl / (t0 + 273.15)) ** (1 / KAPPA)
-    lnp = np.log(p)
-    z_lcl = float(np.interp(-np.log(pl), -lnp, z))
-    grid = np.unique(np.concatenate((p[p <= p0], [p0], [pl] if pl > p[-1] else [])))[::-1]
-    zg, tg, rg = (np.interp(-np.log(grid), -lnp, x) for x in (z, t, r))
-    env = (tg + 273.15) * (1 + 0.608 * rg)
-    dry = grid >= pl
-    up, rp = np.empty_like(grid), np.full_like(grid, r0)
-    up[dry] = (t0 + 273.15) * (grid[dry] / p0) ** KAPPA - 273.15
+    n, p0, tk = p.shape[1], _at(p, start), t0 + 273.15
+    e0 = np.log(np.maximum(r0 * p0 / (EPS + r0), 1e-6) / 6.112)
+    td = np.minimum(t0, 243.5 * e0 / (17.67 - e0)) + 273.15
+    tl = 1 / (1 / (td - 56) + np.log(tk / td) / 800) + 56
+    pl = np.minimum(p0 * (tl / tk) ** (1 / KAPPA), p0)
+    k = (p > pl[:, None]).sum(1)
+    below, above = np.maximum(k - 1, 0), np.minimum(k, n - 1)
+    w = _share(_at(p, below), _at(p, above), pl)
+    own = np.arange(n + 1)[None, :]
+    level = np.maximum(np.minimum(np.where(own < k[:, None], own, own - 1), n - 1), start[:, None])
+    lcl = own == k[:, None]
+
+    def with_lcl(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.where(lcl, at[:, None], np.take_along_axis(x, level, 1))
+
+    z_lcl, t_lcl, r_lcl = (_at(x, below) + w * (_at(x, above) - _at(x, below)) for x in (z, t, r))
+    grid, zg, tg, rg = with_lcl(p, np.maximum(pl, p[:, -1])), with_lcl(z, z_lcl), with_lcl(t, t_lcl), with_lcl(r, r_lcl)
+    dry = grid >= pl[:, None]
+    up = tk[:, None] * (grid / p0[:, None]) ** KAPPA - 273.15
     last_t, last_p = tl - 273.15, pl
-    for i in np.flatnonzero(~dry):
-        last_t = float(_moist(np.array(last_t), np.array(last_p), np.array(grid[i])))
-        last_p, up[i] = grid[i], last_t
-        rp[i] = _mix(np.array(grid[i]), np.array(last_t))
-    parcel = (up + 273.15) * (1 + 0.608 * rp)
-    b = G * (parcel - env) / env
-    dz, mid = np.diff(zg), (b[1:] + b[:-1]) / 2
-    positive = np.flatnonzero((mid > 0) & (grid[1:] <= pl))
-    li = None
-    if grid[0] >= 500 >= grid[-1]:
-        li = float(np.interp(-np.log(500.0), -np.log(grid), tg) - np.interp(-np.log(500.0), -np.log(grid), up))
-    if not len(positive):
-        return {"cape": 0.0, "cin": 0.0, "lcl_m": z_lcl, "lfc_m": None, "el_m": None, "lifted_index": li, "ecape": 0.0, "failed": False}
-    first, top = positive[0], positive[-1]
-    cape = float((np.maximum(mid, 0) * dz)[first : top + 1].sum())
-    cin = float(np.minimum(mid * dz, 0)[:first].sum())
-    el = float(zg[top + 1])
+    for j in range(n + 1):
+        now = np.minimum(grid[:, j], last_p)
+        last_t, last_p = _moist(last_t, last_p, now), now
+        up[:, j] = np.where(dry[:, j], up[:, j], last_t)
+    env = (tg + 273.15) * (1 + 0.608 * rg)
+    b = G * ((up + 273.15) * (1 + 0.608 * np.where(dry, r0[:, None], _mix(grid, up))) - env) / env
+    dz, mid, layer = np.diff(zg), (b[:, 1:] + b[:, :-1]) / 2, np.arange(n)[None, :]
+    positive = (mid > 0) & (grid[:, 1:] <= pl[:, None]) & (dz > 0)
+    free, first, top = positive.any(1), positive.argmax(1), n - 1 - positive[:, ::-1].argmax(1)
+    inside = free[:, None] & (layer >= first[:, None]) & (layer <= top[:, None])
+    cape = (np.maximum(mid, 0) * dz * inside).sum(1)
+    cin = (np.minimum(mid * dz, 0) * (free[:, None] & (layer < first[:, None]))).sum(1)
+    el = _at(zg, top + 1)
+    half = (grid > 500).sum(1)
+    lo, hi = np.maximum(half - 1, 0), np.minimum(half, n)
+    w, warmer = _share(_at(grid, lo), _at(grid, hi), 500.0), tg - up
+    li = np.where((p0 >= 500) & (grid[:, -1] <= 500), _at(warmer, lo) + w * (_at(warmer, hi) - _at(warmer, lo)), np.nan)
     # Analytic form: psi from the mixing length, NCAPE from the saturated static energy of the environment.
-    h = CP * (tg + 273.15) + LV * rg + G * zg
-    hs = CP * (tg + 273.15) + LV * _mix(grid, tg) + G * zg
-    hbar = np.concatenate(([h[0]], np.cumsum((h[1:] + h[:-1]) / 2 * dz) / np.maximum(zg[1:] - zg[0], 1e-6)))
-    part = -G / (CP * (tg + 273.15)) * (hbar - hs)
-    ncape = float((((part[1:] + part[:-1]) / 2) * dz)[first : top + 1].sum())
-    if cape <= 0 or speed <= 0:
-        ecape = 0.0
-    else:
-        psi = MIXING_K2 * ALPHA**2 * np.pi**2 * MIXING_M / (4 * PRANDTL * SIGMA**2 * el)
-        v2 = speed * speed
-        s = v2 / (2 * cape)
-        q = (1 + psi + 2 * psi / v2 * ncape) / (4 * psi / v2 * cape)
-        inner = (1 + psi + 2 * psi / v2 * ncape) ** 2 + 8 * (psi / v2) * (cape - psi * ncape)
-        frac = s - q + np.sqrt(max(inner, 0.0)) / (4 * psi / v2 * cape)
-        ecape = float(max(frac, 0.0) * cape)
-    return {"cape": cape, "cin": cin, "lcl_m": z_lcl, "lfc_m": float(zg[first]), "el_m": el, "lifted_index": li, "ecape": ecape, "failed": False}
-
-
-def _parcels(p: np.ndarray, z: np.ndarray, t: np.ndarray, r: np.ndarray, kinds: tuple[str, ...]) -> Iterator[tuple[str, tuple[float, float, float]]]:
-    theta = (t + 273.15) * (1000 / p) ** KAPPA
-    for kind in kinds:
-        if kind == "sb":
-            yield kind, (p[0], t[0], r[0])
-        elif kind == "ml":  # mean of the lowest 100 hPa
-            low = p >= p[0] - 100
-            th, q = theta[low].mean(), r[low].mean()
-            yield kind, (p[0], th * (p[0] / 1000) ** KAPPA - 273.15, q)
-        else:  # greatest equivalent potential temperature in the lowest 300 hPa
-            low = np.flatnonzero(p >= p[0] - 300)
-            best = low[np.argmax(theta[low] * np.exp(LV * r[low] / (CP * (t[low] + 273.15))))]
-            yield kind, (p[best], t[best], r[best])
+    h, rise = CP * (tg + 273.15) + LV * rg + G * zg, zg - zg[:, :1]
+    total = np.concatenate((np.zeros((len(p), 1)), np.cumsum((h[:, 1:] + h[:, :-1]) / 2 * dz, 1)), 1)
+    hbar = np.where(rise > 0, total / np.where(rise > 0, rise, 1), h[:, :1])
+    part = -G / (CP * (tg + 273.15)) * (hbar - CP * (tg + 273.15) - LV * _mix(grid, tg) - G * zg)
+    ncape = ((part[:, 1:] + part[:, :-1]) / 2 * dz * inside).sum(1)
+    moves = (cape > 0) & (speed > 0)
+    c, v2, psi = np.where(moves, cape, 1.0), np.where(moves, speed * speed, 1.0), MIXING_K2 * ALPHA**2 * np.pi**2 * MIXING_M / (4 * PRANDTL * SIGMA**2 * np.where(moves, el, 1.0))
+    a = 1 + psi + 2 * psi / v2 * ncape
+    root = np.sqrt(np.maximum(a * a + 8 * (psi / v2) * (c - psi * ncape), 0))
+    frac = v2 / (2 * c) + (root - a) / (4 * psi / v2 * c)
+    return {
+        "cape": cape, "cin": cin, "lcl_m": z_lcl, "lfc_m": np.where(free, _at(zg, first), np.nan), "el_m": np.where(free, el, np.nan),
+        "lifted_index": li, "ecape": np.where(moves, np.maximum(frac, 0) * c, 0.0),
+    }
+
+
+def _start(kind: str, p: np.ndarray, t: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Level, temperature and mixing ratio with which a kind of parcel sets out in each column."""
+    theta, ground = (t + 273.15) * (1000 / p) ** KAPPA, np.zeros(len(p), np.int64)
+    if kind == "sb":
+        return ground, t[:, 0], r[:, 0]
+    if kind == "ml":  # mean of the lowest 100 hPa
+        low = p >= p[:, :1] - 100
+        th, q = ((x * low).sum(1) / low.sum(1) for x in (theta, r))
+        return ground, th * (p[:, 0] / 1000) ** KAPPA - 273.15, q
+    # Greatest equivalent potential temperature in the lowest 300 hPa.
+    best = np.where(p >= p[:, :1] - 300, theta * np.exp(LV * r / (CP * (t + 273.15))), -np.inf).argmax(1)
+    return best, _at(t, best), _at(r, best)
+
+
+def _lift(levels: pa.StructArray, offsets: np.ndarray, kinds: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Results of all columns, kind after kind; columns of equal depth are lifted together."""
+    depth, n = np.diff(offsets), len(offsets) - 1
+    values = [np.asarray(x.fill_null(0.0) if i > 3 else x, float) for i, x in enumerate(levels.flatten())]
+    out = {c: np.full((len(kinds), n), np.nan) for c in NUMBERS} | {"failed": np.ones((len(kinds), n), bool)}
+    for d in np.unique(depth[depth >= 4]):
+        at = np.flatnonzero(depth == d)
+        spot = offsets[at][:, None] + np.arange(d)[None, :]
+        good = (np.diff(values[0][spot]) < 0).all(1) & (np.diff(values[1][spot]) > 0).all(1)
+        at, spot = at[good], spot[good]
+        if not len(at):
+            continue
+        p, z, t, r, u, v = (x[spot] for x in values)
+        r, low = np.maximum(r, 1e-10), z <= z[:, :1] + 1000
+        speed = np.hypot(*(x.mean(1) - (x * low).sum(1) / low.sum(1) for x in (u, v)))
+        for i, kind in enumerate(kinds):
+            for c, x in ascend(p, z, t, r, *_start(kind, p, t, r), speed).items():
+                out[c][i, at] = x
+            out["failed"][i, at] = False
+    return out
 
 
 def parcel(levels: DataFrame, keys: list[str], kinds: tuple[str, ...] = ("sb", "ml", "mu")) -> DataFrame:
     """One row for each column and kind of parcel; ``levels`` has p_hpa, z_m, t_c, q, u and v.
 
     A column is gathered into one array (its levels only), sorted from high to
-    low pressure. Columns with fewer than four whole levels, or whose pressures
-    do not fall, come back as failed. Formulas are published parcel theory.
+    low pressure; numpy lifts all columns of a batch that have the same number
+    of levels together. Columns with fewer than four whole levels, or whose
+    pressures do not fall, come back as failed. Formulas are published parcel theory.
     """
     whole = levels.where("p_hpa is not null and z_m is not null and t_c is not null and q is not null")
-    cols = whole.groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(F.struct("p_hpa", "z_m", "t_c", "q", "u", "v")))).alias("lv"))
-    kept = ", ".join(f"{k} {t}" for k, t in levels.select(*keys).dtypes)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for row in f.itertuples(index=False):
-                own = [getattr(row, k) for k in keys]
-                a = np.array([[x["p_hpa"], x["z_m"], x["t_c"], x["q"], x["u"] or 0.0, x["v"] or 0.0] for x in row.lv], float)
-                good = len(a) >= 4 and (np.diff(a[:, 0]) < 0).all() and (np.diff(a[:, 1]) > 0).all()
-                if not good:
-                    rows += [(*own, k, None, None, None, None, None, None, None, True) for k in kinds]
-                    continue
-                p, z, t, r = (a[:, i] for i in range(4))
-                r = np.maximum(r, 1e-10)
-                low = z <= z[0] + 1000
-                speed = float(np.hypot(a[:, 4].mean() - a[low, 4].mean(), a[:, 5].mean() - a[low, 5].mean()))
-                for kind, (p0, t0, r0) in _parcels(p, z, t, r, kinds):
-                    x = ascend(p, z, t, r, p0, t0, r0, speed)
-                    rows.append((*own, kind, *(x[c] for c in ("cape", "cin", "lcl_m", "lfc_m", "el_m", "lifted_index", "ecape", "failed"))))
-            yield pd.DataFrame(rows, columns=[*keys, "kind", "cape", "cin", "lcl_m", "lfc_m", "el_m", "lifted_index", "ecape", "failed"])
-
-    return cols.mapInPandas(run, f"{kept}, {OUT}")
+    number = {c: F.col(c).cast("double").alias(c) for c in ("p_hpa", "z_m", "t_c", "q", "u", "v")}
+    cols = whole.groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(F.struct(*number.values())))).alias("_levels"))
+    kept = ", ".join(f"`{k}` {t}" for k, t in levels.select(*keys).dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, n = batch.column("_levels"), batch.num_rows
+            got = _lift(lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py(), kinds)
+            rows = pa.array(np.tile(np.arange(n), len(kinds)))
+            own = [batch.column(k).take(rows) for k in keys]
+            kind = pa.array(np.repeat(np.array(kinds, object), n), pa.string())
+            numbers = [pa.array(got[c].ravel(), pa.float64(), from_pandas=True) for c in NUMBERS]
+            yield pa.RecordBatch.from_arrays([*own, kind, *numbers, pa.array(got["failed"].ravel())], names=[*keys, "kind", *NUMBERS, "failed"])
+
+    return cols.mapInArrow(run, f"{kept}, {OUT}")

@@ -223,8 +223,8 @@ def severe_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lv, keys = A.levels(spark, sf_dir).withColumn("z_m", F.when(F.col("k") == 0, 0.0).otherwise(F.col("z_m"))), ["run", "grid_index"]
     p = PA.parcel(lv, keys, ("sb", "mu"))
-    sb, mu = (p.where(F.col("kind") == k).select(*keys, F.col("cape").alias(f"{k}cape"), F.col("cin").alias(f"{k}cin"), F.col("lcl_m").alias(f"{k}lcl"), F.col("ecape").alias(f"{k}ecape")) for k in ("sb", "mu"))
-    j = sb.join(mu, keys).join(C.wind_bundle(lv, keys), keys)
+    own = {f"{k}{short}": F.max(F.when(F.col("kind") == k, F.col(c))) for k in ("sb", "mu") for c, short in (("cape", "cape"), ("cin", "cin"), ("lcl_m", "lcl"), ("ecape", "ecape"))}
+    j = p.groupBy(*keys).agg(*(v.alias(k) for k, v in own.items())).join(C.wind_bundle(lv, keys), keys)
     c = F.col
     return _r(j.select(*keys, "sbcape", "mucape", "muecape", T.stp_fixed(c("sbcape"), c("sblcl"), c("srh_0_1km"), c("shear_0_6km")).alias("stp"), T.stp_effective(c("sbcape"), c("sblcl"), c("srh_0_1km"), c("shear_0_6km"), c("sbcin")).alias("stp_eff"), T.scp(c("mucape"), c("srh_0_3km"), c("shear_0_6km")).alias("scp"), T.ehi(c("sbcape"), c("srh_0_1km")).alias("ehi"), T.ratio_guarded(c("muecape"), c("mucape")).alias("ratio")), 4)
 
