@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cumula.functions import wind as W
+from cumula.shared import written
 
 
 def score_places(places: DataFrame, areas: DataFrame) -> DataFrame:
@@ -27,14 +28,16 @@ def score_places(places: DataFrame, areas: DataFrame) -> DataFrame:
 def select_places(scored: DataFrame, spacing_km: float, most: int) -> DataFrame:
     """Best places of each area, each ``spacing_km`` or more from every better one kept, ``most`` at most.
 
-    The fold goes over one area's places from the best down; the limit is the product's own.
+    Ties go to the lesser ``place_id``. Each round picks the best place left in every area by a
+    grouped minimum, with partial minima before the shuffle, so no area is gathered in one task; the
+    places too near to the picks, one an area, then leave. There are ``most`` rounds at most.
     """
-    s = scored.groupBy("area_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "place_id", "lat", "lon"))).alias("c"))
-    kind = "array<struct<m:double,place_id:bigint,lat:double,lon:double>>"
-
-    def keep(acc: Column, x: Column) -> Column:
-        near = F.exists(acc, lambda y: W.haversine(y["lat"], y["lon"], x["lat"], x["lon"]) < spacing_km)
-        return F.when(near | (F.size(acc) >= most), acc).otherwise(F.concat(acc, F.array(x)))
-
-    k = s.select("area_id", F.posexplode(F.aggregate(F.col("c").cast(kind), F.array().cast(kind), keep)).alias("i", "x"))
-    return k.select("area_id", (F.col("i") + 1).alias("rank"), "x.place_id", (-F.col("x.m")).alias("score"))
+    left, kept = written(scored.select("area_id", "place_id", "lat", "lon", "score")), None
+    for rank in range(1, most + 1):
+        best = written(left.groupBy("area_id").agg(F.min(F.struct((-F.col("score")).alias("m"), "place_id", "lat", "lon")).alias("x")).withColumn("rank", F.lit(rank)))
+        kept = best if kept is None else kept.unionByName(best)
+        if best.isEmpty():
+            break
+        far = (W.haversine(F.col("x.lat"), F.col("x.lon"), F.col("lat"), F.col("lon")) >= spacing_km) & (F.col("place_id") != F.col("x.place_id"))
+        left = left.join(best.drop("rank"), "area_id").where(far).drop("x")
+    return kept.select("area_id", "rank", "x.place_id", (-F.col("x.m")).alias("score"))

@@ -138,10 +138,26 @@ def _dual(g: DataFrame) -> DataFrame:
 def tds_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Debris candidates with two derived moments, the best of each volume, none near a better one."""
     c = R.tds_candidates(_dual(A.gates(spark, sf_dir)))
-    best = c.groupBy("volume", "az", "gate", "range_km").agg(F.max("score").alias("score"))
+    best = c.groupBy("volume", "az", "gate", "range_km").agg(F.round(F.max("score"), 9).alias("score"))
     return _r(R.suppress(best, ["volume"]))
 
 
+TDS_CANDIDATES_SQL = f"""
+with recursive {A.GATES_SQL}, d as (select *, (gate * 7 % 40 - 20) / 10.0::double as zdr, 0.5::double + (az * 3 + gate * 11) % 45 / 100.0::double as cc from gates),
+c as (select volume, az, gate, range_km, round(max((dbz - 40) * 0.02::double + (0.82::double - cc) * 2 - abs(zdr) * 0.1::double), 9) as score from d
+  where gate % 2 = 0 and range_km between 15 and 120 and dbz >= 40 and abs(zdr) <= 1.25 and cc between 0.55::double and 0.82::double group by 1, 2, 3, 4),
+o as materialized (select *, row_number() over (partition by volume order by score desc, az, gate) as i from c),
+f(volume, i, kept) as (
+  select distinct volume, 0::bigint, []::struct(az bigint, gate bigint, range_km double, score double)[] from o
+  union all
+  select f.volume, o.i, case when len(f.kept) >= 64 or len(list_filter(f.kept, lambda y: least(abs(y.az - o.az), 360 - abs(y.az - o.az)) < 3 and abs(y.range_km - o.range_km) < 3)) > 0
+    then f.kept else list_append(f.kept, {{'az': o.az::bigint, 'gate': o.gate::bigint, 'range_km': o.range_km::double, 'score': o.score::double}}) end
+  from f join o on o.volume = f.volume and o.i = f.i + 1),
+l as (select volume, arg_max(kept, i) as kept from f group by 1), u as (select volume, kept, unnest(range(1, len(kept) + 1)) as rank from l)
+select volume, rank::int as rank, kept[rank].az as az, kept[rank].gate as gate, kept[rank].range_km as range_km, round(kept[rank].score, 6) as score from u
+"""
+
+
 def tds_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = R.tds_candidates(_dual(A.gates(spark, sf_dir)))
     return _r(c.groupBy("volume", "sweep").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.avg("score").alias("mean")))
@@ -251,5 +267,5 @@ def volume_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (radar_vil, radar_tops, radar_motion, radar_srv, shear_candidates, mesocyclones, tvs_candidates, high_z_hail, tbss, tds_candidates, tds_scores, storm_cells, meso_reflectivity, radar_inventory, dealias, volume_frames, cell_cascade, tvs_detections, mesocyclone_tilts)}
 ORACLES = {
     "radar_vil": RADAR_VIL_SQL, "radar_tops": RADAR_TOPS_SQL, "radar_motion": RADAR_MOTION_SQL, "radar_srv": RADAR_SRV_SQL, "shear_candidates": SHEAR_CANDIDATES_SQL, "mesocyclones": MESOCYCLONES_SQL, "tvs_candidates": TVS_CANDIDATES_SQL,
-    "high_z_hail": HIGH_Z_HAIL_SQL, "tbss": TBSS_SQL, "tds_scores": TDS_SCORES_SQL, "storm_cells": STORM_CELLS_SQL, "meso_reflectivity": MESO_REFLECTIVITY_SQL, "radar_inventory": RADAR_INVENTORY_SQL, "tvs_detections": TVS_DETECTIONS_SQL,
+    "high_z_hail": HIGH_Z_HAIL_SQL, "tbss": TBSS_SQL, "tds_candidates": TDS_CANDIDATES_SQL, "tds_scores": TDS_SCORES_SQL, "storm_cells": STORM_CELLS_SQL, "meso_reflectivity": MESO_REFLECTIVITY_SQL, "radar_inventory": RADAR_INVENTORY_SQL, "tvs_detections": TVS_DETECTIONS_SQL,
 }

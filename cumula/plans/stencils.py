@@ -195,7 +195,7 @@ def place_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey")
     areas = A.table(spark, sf_dir, "nation").select(n.cast("long").alias("area_id"), (-123.07 + n * 5 % 27 - 2).alias("west"), (-123.07 + n * 5 % 27 + 2).alias("east"), (26.03 + n * 7 % 8 - 1.5).alias("south"), (26.03 + n * 7 % 8 + 1.5).alias("north"))
     places = A.points(spark, sf_dir).select(F.col("point_id").alias("place_id"), F.col("plat").alias("lat"), F.col("plon").alias("lon"), (F.col("point_id") % 17).alias("source_index"))
-    return _r(PL.select_places(PL.score_places(places, areas), 60.0, 10))
+    return _r(PL.select_places(PL.score_places(places, areas).withColumn("score", F.round("score", 9)), 60.0, 10))
 
 
 def place_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,6 +212,23 @@ from points, a where abs(plon - cx) <= 2 and abs(plat - cy) <= 1.5
 """
 
 
+PLACE_SELECTION_SQL = f"""
+with recursive {A.POINTS_SQL}, a as (select n_nationkey::bigint as area_id, -123.07::double + n_nationkey * 5 % 27 as cx, 26.03::double + n_nationkey * 7 % 8 as cy from nation),
+s as (select area_id, point_id as place_id, plat as lat, plon as lon,
+  round(0.55 * least(1, (2 - abs(plon - cx)) / 2, (1.5 - abs(plat - cy)) / 1.5) + 0.35 * (1 - least(1, sqrt(((plon - cx) / 2) ** 2 + ((plat - cy) / 1.5) ** 2) / sqrt(2))) + 0.1 / (1 + point_id % 17), 9) as score
+  from points, a where abs(plon - cx) <= 2 and abs(plat - cy) <= 1.5),
+o as materialized (select *, row_number() over (partition by area_id order by score desc, place_id) as i from s),
+f(area_id, i, kept) as (
+  select distinct area_id, 0::bigint, []::struct(place_id bigint, lat double, lon double, score double)[] from o
+  union all
+  select f.area_id, o.i, case when len(f.kept) >= 10 or len(list_filter(f.kept, lambda y: 2 * 6371 * asin(sqrt(least(1, sin(radians(o.lat - y.lat) / 2) ** 2 + cos(radians(y.lat)) * cos(radians(o.lat)) * sin(radians(o.lon - y.lon) / 2) ** 2))) < 60)) > 0
+    then f.kept else list_append(f.kept, {{'place_id': o.place_id::bigint, 'lat': o.lat::double, 'lon': o.lon::double, 'score': o.score::double}}) end
+  from f join o on o.area_id = f.area_id and o.i = f.i + 1),
+l as (select area_id, arg_max(kept, i) as kept from f group by 1), u as (select area_id, kept, unnest(range(1, len(kept) + 1)) as rank from l)
+select area_id, rank::int as rank, kept[rank].place_id as place_id, round(kept[rank].score, 6) as score from u
+"""
+
+
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instability of every column for three kinds of parcel."""
     return _r(PA.parcel(A.levels(spark, sf_dir), ["run", "grid_index"]), 4)
@@ -232,5 +249,5 @@ def severe_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (temperature_advection, vorticity, destagger, rotate_lon, fill_masked, isolines, band_areas, route_samples, section_products, section_facts, place_selection, place_scores, parcels, severe_bundle)}
 ORACLES = {
     "temperature_advection": TEMPERATURE_ADVECTION_SQL, "vorticity": VORTICITY_SQL, "destagger": DESTAGGER_SQL, "rotate_lon": ROTATE_LON_SQL, "fill_masked": FILL_MASKED_SQL, "isolines": ISOLINES_SQL, "band_areas": BAND_AREAS_SQL,
-    "route_samples": ROUTE_SAMPLES_SQL, "section_products": SECTION_PRODUCTS_SQL, "section_facts": SECTION_FACTS_SQL, "place_scores": PLACE_SCORES_SQL,
+    "route_samples": ROUTE_SAMPLES_SQL, "section_products": SECTION_PRODUCTS_SQL, "section_facts": SECTION_FACTS_SQL, "place_scores": PLACE_SCORES_SQL, "place_selection": PLACE_SELECTION_SQL,
 }
