@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumula.llm import cotraining, line_dedup, mpeg_audio, packing, quality_rules, sentencepiece_codec, simhash, token_counts, token_files, toxicity
+from cumula.llm import cotraining, lexical_search, line_dedup, mixture_packing, mpeg_audio, packing, periodic_runs, quality_rules, sentencepiece_codec, simhash, token_counts, token_files, toxicity
 from cumula.llm.common import held_out, table
 
 
@@ -73,6 +74,37 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: The id behind every document of op11.
+MIXTURE_END = 2
+
+
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in windows that hold each source at its share of all tokens."""
+    pieces = mixture_packing.pack_mixture(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), MIXTURE_END)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Words of a document; one in ten, by crc32 of its id, repeats a stretch to its end."""
+    h, n = crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, and what is left without their repeats."""
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), prepare=repeated_tail))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_packing": op2_packing,
@@ -84,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cotraining": op8_cotraining,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
+    "op11_mixture_packing": op11_mixture_packing,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -111,6 +146,25 @@ select d.doc_id, case when d.text is null then null else coalesce(per.kept, '')
 from d left join per on d.rid = per.rid
 """
 
+#: Terms of every text, then every document's score for every item that shares a term with it.
+LEXICAL_SEARCH_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, text from documents),
+t as (select rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+tf as (select rid, doc_id, term, count(*)::bigint as tf from t group by all),
+n as (select rid, sum(tf)::bigint as n from tf group by rid),
+s as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from n),
+w as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, s group by term, n_docs),
+i as (select row_number() over () as iid, item_id, text from benchmark),
+it as (select distinct iid, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from i),
+scored as (
+  select it.iid, it.item_id, tf.rid, tf.doc_id, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * n.n * s.n_docs) // s.n_terms))))::bigint as score
+  from it join tf using (term) join w using (term) join n on n.rid = tf.rid, s
+  group by all having score > 0),
+ranked as (select *, row_number() over (partition by iid order by score desc, doc_id, rid)::int as rank from scored)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op4_line_dedup": LINE_DEDUP_SQL,
+    "op12_lexical_search": LEXICAL_SEARCH_SQL,
 }
