@@ -376,39 +376,3 @@ def volume_frame(**detections: DataFrame) -> DataFrame:
         packed = d.groupBy(*VOLUME).agg(F.array_sort(F.collect_list(F.struct(*(c for c in d.columns if c not in VOLUME)))).alias(name))
         out = packed if out is None else out.join(packed, VOLUME, "full")
     return out
-
-
-def dealias_sweeps(gates: DataFrame, nyquist: float = 30.0, passes: int = 3) -> DataFrame:
-    """``gates`` (volume, sweep, az, gate, vel) with velocities unfolded, sweep by sweep.
-
-    Along each radial a gate is brought nearest to the last one; then each pass
-    over the sweep compares gates with the mean of their neighbours and moves
-    those that are more than a Nyquist velocity off. A sweep is sequential, so
-    it is the unit of work; sweeps run beside each other.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["az", "gate"], kind="stable")
-        rows, r = np.unique(pdf["az"].to_numpy(), return_inverse=True)
-        g = pdf["gate"].to_numpy() - pdf["gate"].min()
-        field = np.full((len(rows), int(g.max()) + 1), np.nan)
-        field[r, g] = pdf["vel"].to_numpy(float)
-        last, fold = np.full(len(rows), np.nan), 2 * nyquist
-        for k in range(field.shape[1]):
-            col = field[:, k]
-            both = ~np.isnan(col) & ~np.isnan(last)
-            turn = (last[both] - col[both]) / fold
-            col[both] += fold * np.clip(np.sign(turn) * np.floor(np.abs(turn) + 0.5), -8, 8)
-            last = np.where(np.isnan(col), last, col)
-        for _ in range(passes):
-            around = np.stack([np.roll(field, 1, 0), np.roll(field, -1, 0), np.pad(field, ((0, 0), (1, 0)), constant_values=np.nan)[:, :-1], np.pad(field, ((0, 0), (0, 1)), constant_values=np.nan)[:, 1:]])
-            n = (~np.isnan(around)).sum(0)
-            mean = np.where(n > 0, np.nansum(around, 0) / np.maximum(n, 1), np.nan)
-            turn = (mean - field) / fold
-            off = (n >= 2) & (np.abs(mean - field) > nyquist)
-            field = np.where(off, field + fold * np.clip(np.sign(turn) * np.floor(np.abs(turn) + 0.5), -8, 8), field)
-        return pdf.assign(vel=field[r, g])
-
-    return gates.groupBy(*VOLUME, "sweep").applyInPandas(run, gates.schema)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cumula import adapters as A
+from cumula.operators import dealias as D
 from cumula.operators import radar as R
 from cumula.plans.areas import _r
 
@@ -215,8 +216,9 @@ select volume, count(distinct sweep) as sweeps, count(distinct sweep * 1000 + az
 
 
 def dealias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unfolded velocities of all sweeps."""
-    return R.dealias_sweeps(A.gates(spark, sf_dir).select("volume", "sweep", "az", "gate", "vel"), 20.0)
+    """Unfolded velocities of all sweeps, each by its own Nyquist velocity."""
+    g = A.gates(spark, sf_dir).select("volume", "sweep", "az", "gate", "vel")
+    return D.dealias_sweeps(g.withColumn("nyquist", 14.0 + 3 * F.col("sweep") + F.col("volume") % 3), "nyquist").drop("nyquist")
 
 
 def _coarse(g: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Cells by falling thresholds, tilts of one place and unfolding, against small scenes and brute force."""
 
 import math
+import statistics
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cumula import adapters as A
+from cumula.operators import dealias as D
 from cumula.operators import radar as R
+from cumula.registry import QUERIES
 
 GATES = "volume long, sweep long, elev double, az long, gate long, range_km double, dbz double, vel double"
 
@@ -41,38 +44,104 @@ def test_tilts_of_one_place(spark):
     assert sorted((k[0], n, sorted(d)) for k, (n, d) in groups.items()) == [(1, 1, ["c"]), (1, 1, ["e"]), (1, 3, ["a", "b", "d"]), (2, 1, ["f"])]
 
 
+def by_loops(observed, ny, passes=3):
+    """Unfolding of one sweep gate by gate, by the rules as written."""
+    def turn(v, ref):
+        x = (ref - v) / (2 * ny)
+        return v + 2 * ny * max(-8, min(8, math.copysign(math.floor(abs(x) + 0.5), x)))
+
+    rows, cols = len(observed), len(observed[0])
+    done = [[None] * cols for _ in range(rows)]
+    for r in range(rows):
+        own, above = observed[r], done[r - 1] if r else [None] * cols
+        both = [k for k in range(cols) if own[k] is not None and above[k] is not None]
+        if both:
+            seed = min(both, key=lambda k: abs(k - sum(both) / len(both)))
+        else:
+            seed = next((k for k in range(cols) if own[k] is not None), None)
+        if seed is None:
+            continue
+        done[r][seed] = own[seed] if above[seed] is None else turn(own[seed], above[seed])
+        for way in (1, -1):
+            walked, k = [seed], seed + way
+            while 0 <= k < cols:
+                if own[k] is not None:
+                    refs = [done[r][walked[-1]]]
+                    if len(walked) > 1:
+                        refs.append(2 * done[r][walked[-1]] - done[r][walked[-2]])
+                    if above[k] is not None:
+                        refs.append(above[k])
+                    done[r][k] = turn(own[k], statistics.median(refs))
+                    walked.append(k)
+                k += way
+    for _ in range(passes):
+        now, moved = [list(x) for x in done], False
+        for r in range(rows):
+            for k in range(cols):
+                if observed[r][k] is None:
+                    continue
+                near = [now[(r + a) % rows][k + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0) and 0 <= k + b < cols]
+                near = [x for x in near if x is not None]
+                if len(near) < 2:
+                    continue
+                m = statistics.median(near)
+                c = turn(observed[r][k], m)
+                if abs(c - m) + 0.15 * ny < abs(now[r][k] - m):
+                    done[r][k], moved = c, True
+        if not moved:
+            break
+    return done
+
+
+def grid_of(rows):
+    return np.array([[np.nan if v is None else v for v in r] for r in rows], float)
+
+
+def test_unfolding_scenes():
+    """Scenes whose outcome follows from the rules: an outward fold, and one gate that its neighbours mend."""
+    folded = np.array([[10.0, 12.0, 14.0, -14.0, -12.0, -10.0]])
+    assert D.unfold_radials(folded, 15.0).tolist() == [[10, 12, 14, 16, 18, 20]]
+    scene = np.array([[9.0, 11.0, 13.0], [10.0, 12.0, -14.0], [11.0, 13.0, 15.0]])
+    assert D.refine_sweep(scene, scene.copy(), 15.0, 2)[1, 2] == 16
+    assert np.isnan(D.unfold_radials(np.full((2, 3), np.nan), 15.0)).all()
+
+
+def test_unfolding_equals_loops_on_random_sweeps():
+    rnd = np.random.default_rng(2)
+    for n in range(120):
+        shape = (int(rnd.integers(1, 9)), int(rnd.integers(1, 14)))
+        true = np.cumsum(rnd.normal(0, 6, shape), axis=1) + np.cumsum(rnd.normal(0, 5, (shape[0], 1)), axis=0)
+        ny = float(rnd.uniform(8, 25))
+        seen = np.where(rnd.random(shape) < (0.3, 0.05, 0.7)[n % 3], np.nan, (true + ny) % (2 * ny) - ny)
+        want = grid_of(by_loops([[None if math.isnan(v) else float(v) for v in r] for r in seen], ny))
+        assert np.allclose(D.refine_sweep(seen, D.unfold_radials(seen, ny), ny), want, equal_nan=True)
+
+
+def test_unfolding_gives_back_smooth_winds():
+    az, gate = np.meshgrid(np.arange(60), np.arange(80), indexing="ij")
+    true = 40 * np.sin(az * 2 * np.pi / 60) * (gate / 80) + 5
+    folded = (true + 12) % 24 - 12
+    assert np.allclose(D.refine_sweep(folded, D.unfold_radials(folded, 12.0), 12.0), true)
+
+
 def test_dealias_equals_brute_force(spark, sf):
     """Every gate of every sweep by plain loops."""
-    g = A.gates(spark, sf).select("volume", "sweep", "az", "gate", "vel")
-    ny, want = 20.0, {}
     sweeps = {}
-    for r in g.collect():
+    for r in A.gates(spark, sf).select("volume", "sweep", "az", "gate", "vel").collect():
         sweeps.setdefault((r.volume, r.sweep), {})[r.az, r.gate] = r.vel
-
-    def turn(ref, v):
-        x = (ref - v) / (2 * ny)
-        n = math.copysign(math.floor(abs(x) + 0.5), x)
-        return v + 2 * ny * max(-8, min(8, n))
-
-    for key, cells in sweeps.items():
-        azs = sorted({a for a, _ in cells})
-        lo, hi = min(k for _, k in cells), max(k for _, k in cells)
-        for a in azs:
-            last = None
-            for k in range(lo, hi + 1):
-                if (a, k) in cells:
-                    if last is not None:
-                        cells[a, k] = turn(last, cells[a, k])
-                    last = cells[a, k]
-        for _ in range(3):
-            new = dict(cells)
-            for (a, k), v in cells.items():
-                i = azs.index(a)
-                near = [cells.get((azs[i - 1], k)), cells.get((azs[(i + 1) % len(azs)], k)), cells.get((a, k - 1)), cells.get((a, k + 1))]
-                near = [x for x in near if x is not None]
-                if len(near) >= 2 and abs(sum(near) / len(near) - v) > ny:
-                    new[a, k] = turn(sum(near) / len(near), v)
-            cells = new
-        want |= {(*key, a, k): v for (a, k), v in cells.items()}
-    got = {(r.volume, r.sweep, r.az, r.gate): r.vel for r in R.dealias_sweeps(g, ny).collect()}
+    want = {}
+    for (volume, sweep), cells in sweeps.items():
+        azs, lo, hi = sorted({a for a, _ in cells}), min(k for _, k in cells), max(k for _, k in cells)
+        out = by_loops([[cells.get((a, k)) for k in range(lo, hi + 1)] for a in azs], 14.0 + 3 * sweep + volume % 3)
+        want |= {(volume, sweep, a, lo + k): v for a, row in zip(azs, out, strict=True) for k, v in enumerate(row) if v is not None}
+    got = {(r.volume, r.sweep, r.az, r.gate): r.vel for r in QUERIES["dealias"](spark, sf).collect()}
     assert got.keys() == want.keys() and np.allclose([got[k] for k in sorted(got)], [want[k] for k in sorted(got)])
+
+
+def test_nyquist_of_a_sweep_and_odd_rows(spark):
+    rows = [(1, 0, 0, k, v, None if k < 2 else 15.0) for k, v in enumerate([10.0, 12.0, None, 14.0, -14.0])] + [(1, 1, 0, 0, None, 15.0), (1, 0, None, 3, -29.0, 15.0), (2, 0, 0, 0, 14.0, 0.0), (2, 0, 0, 1, -14.0, None)]
+    df = spark.createDataFrame(rows, "volume long, sweep long, az long, gate long, vel double, nyquist double")
+    got = {(r.volume, r.sweep, r.az, r.gate): r.vel for r in D.dealias_sweeps(df, "nyquist").collect()}
+    assert got == {(1, 0, 0, 0): 10, (1, 0, 0, 1): 12, (1, 0, 0, 2): None, (1, 0, 0, 3): 14, (1, 0, 0, 4): 16, (1, 1, 0, 0): None, (1, 0, None, 3): -29, (2, 0, 0, 0): 14, (2, 0, 0, 1): -14}
+    assert D.dealias_sweeps(df, "nyquist", method="off") is df
+    assert D.dealias_sweeps(df.limit(0), 20.0).collect() == []
