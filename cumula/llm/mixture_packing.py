@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import re
+from array import array
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
@@ -16,31 +18,74 @@ from pyspark.sql import functions as F
 from cumula.llm.byte_bpe import byte_bpe
 from cumula.llm.common import slices, texts, written
 
-#: Tokens of a window, windows of a block, queues, parts a worker remembers, and rows of queue starts that are broadcast.
-CAPACITY, BLOCK_WINDOWS, MOST_QUEUES, MEMO_PARTS, BROADCAST_ROWS = 4096, 64, 1024, 500_000, 2_000_000
+#: Tokens of a window, windows of a block, queues, parts and words a worker remembers, and rows of queue starts that are broadcast.
+CAPACITY, BLOCK_WINDOWS, MOST_QUEUES, MEMO_PARTS, MEMO_WORDS, BROADCAST_ROWS = 4096, 64, 1024, 250_000, 800_000, 2_000_000
+
+
+#: A part whose words the model alone can encode: signs (no apostrophe, no opening of a special string), Latin letters, signs.
+_PLAIN = re.compile("([!-&(-/:;=>?@\\[-`{-~]*)([a-zß-öø-ÿ]*)([!-&(-/:;=>?@\\[-`{-~]*)")
 
 
 class _Encoder:
     """Ids of whole texts as little-endian numbers; each distinct part between ASCII white space is encoded once while it is remembered.
 
-    For tokenizers whose pre-tokens never hold white space and drop it.
+    For tokenizers that lower-case and compose, whose pre-tokens are runs of
+    letters or of signs and never hold white space. Small precomposed Latin letters
+    stay as they are in all that, so of a run of them only the model's merges are
+    left; the library encodes every other part whole.
     """
 
     def __init__(self, path: str):
-        self.bpe, self.memo = byte_bpe(path), {}
-        self.kind = "<u2" if self.bpe.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.bpe, self.memo, self.former = byte_bpe(path), {}, {}
+        self.words: dict[str, bytes] = {}
+        tokenizer = self.bpe.tokenizer
+        self.kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
+        self.bytes = str.maketrans({c: "".join(x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in letters})
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind == "<u2" else "I", ids).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.bpe.ids([text])[0])
+
+    def _word(self, word: str) -> bytes:
+        known = self.words.get(word)
+        if known is None:
+            if len(self.words) > MEMO_WORDS:
+                self.words.clear()
+            mapped = word if word.isascii() else word.translate(self.bytes)
+            known = self.words[word] = self._packed([t.id for t in self.bpe.tokenizer.model.tokenize(mapped)])
+        return known
+
+    def _learn(self, part: bytes) -> bytes:
+        if part.isalpha():  # ASCII letters alone
+            return self._word(part.lower().decode())
+        text = part.decode()
+        found = _PLAIN.fullmatch(text.lower())
+        if not found:
+            return self._whole(text)
+        ahead, word, behind = found.groups()
+        return (self._signs(ahead) if ahead else b"") + (self._word(word) if word else b"") + (self._signs(behind) if behind else b"")
+
+    def _signs(self, signs: str) -> bytes:
+        known = self.words.get(signs)
+        if known is None:
+            known = self.words[signs] = self._whole(signs)
+        return known
 
     def __call__(self, text: str) -> bytes:
         parts = text.encode().split()
-        try:
-            return b"".join([self.memo[p] for p in parts])
-        except KeyError:
-            if len(self.memo) > MEMO_PARTS:
-                self.memo.clear()
-            missing = [p for p in dict.fromkeys(parts) if p not in self.memo]
-            own = dict(zip(missing, (np.array(x, self.kind).tobytes() for x in self.bpe.ids([p.decode() for p in missing])), strict=True))
-            self.memo.update(own)
-            return b"".join([self.memo[p] for p in parts])
+        if len(self.memo) > MEMO_PARTS:  # what is used again comes back from the former half
+            self.former, self.memo = self.memo, {}
+        memo, former = self.memo, self.former
+        found = list(map(memo.get, parts))
+        if None in found:
+            for k, own in enumerate(found):
+                if own is None:
+                    p = parts[k]
+                    found[k] = memo[p] = former.get(p) or memo.get(p) or self._learn(p)
+        return b"".join(found)
 
 
 _ENCODERS: dict[str, _Encoder] = {}

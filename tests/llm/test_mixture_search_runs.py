@@ -60,6 +60,16 @@ def check_windows(pieces, texts, capacity):
             assert np.frombuffer(b"".join(p.ids for p in held), "<u4").tolist() == lists[0]
 
 
+def test_word_encoder_equals_library(docs, monkeypatch):
+    monkeypatch.setattr(mixture_packing, "MEMO_PARTS", 300)
+    t, e, rnd = Tokenizer.from_file(WORD_BPE), mixture_packing._Encoder(WORD_BPE), random.Random(4)
+    texts = [r.text or "" for r in docs.select("text").collect()] + [t or "" for _, t, _ in ODD]
+    signs = list("aZéÉñß÷×ÿŸ'.,;<|>!%&`^_~0 1\\ \tİıKÅΣςе́ﬁ²") + ["'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "\x85", "\u3000", "e\u0301", "word"]
+    texts += ["".join(rnd.choice(signs) for _ in range(rnd.randrange(30))) for _ in range(4000)]
+    for text in texts:
+        assert np.frombuffer(e(text), e.kind).tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("weights", [None, {"src1": 7, "src2": 3, None: 5}])
 def test_mixture_windows_are_whole(spark, docs, odd, weights):
     both = docs.select("doc_id", "text", "source").where("doc_id > 20").union(odd.select("doc_id", "text", "source")).repartition(5)
