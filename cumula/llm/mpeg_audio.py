@@ -201,8 +201,8 @@ def parse(data: bytes) -> Stream:
     """All frames of a file from first to last byte.
 
     Tags in front (ID3v2) and behind (ID3v1, APE) are set apart; one behind only
-    where no frame reaches into it, so bytes inside the last frame that look
-    like a tag stay sound. A header counts where another of the same version,
+    where the frames end: a frame of the stream that starts at its place, or
+    reaches into it, is sound, whatever bytes inside it look like. A header counts where another of the same version,
     layer and rate, a tag behind, or the end of the data follows its frame; else
     the search goes on a byte further. The first frame may hold a table instead
     of sound. Checksums of layers I and III are verified; protected layer II
@@ -216,21 +216,23 @@ def parse(data: bytes) -> Stream:
     out.tag_bytes = min(at, end)
     behind = _tags_behind(data, at)
     last, lost = None, False
-    while at + 4 <= end and at not in behind:
-        f = _header(data, at)
+    while at + 4 <= end:
+        f, tagged = _header(data, at), at in behind
         if f:
             after = at + f.length
             g = _header(data, after) if after + 4 <= end else None
             same = g and (g.version, g.layer, g.rate) == (f.version, f.layer, f.rate)
             follows = last and (last.version, last.layer, last.rate) == (f.version, f.layer, f.rate) and not lost
             if after > end:
-                if follows:
+                if follows and not tagged:
                     out.truncated += 1
                     at = next((c for c in behind if c > at), end)
                     break
                 f = None
             elif not (same or after == end or after in behind or (follows and end - after < 4)):
                 f = None
+        if tagged and not f:
+            break
         if not f:
             nxt = data.find(b"\xff", at + 1, end)
             nxt = min(end if nxt < 0 else nxt, next((c for c in behind if c > at), end))

@@ -142,6 +142,51 @@ def test_mpeg_audio(spark, odd):
     assert (2, hashlib.sha256(b"\xff" * 576).hexdigest()) in digests and len(digests) == len(ODD) - 1
 
 
+def carried_whole(payload):
+    media = mpeg_audio.carry(payload)
+    stream = mpeg_audio.parse(media)
+    return mpeg_audio.carried(media, stream) == payload and stream.skipped == stream.trailer == 0
+
+
+def test_nested_marks_whose_size_leads_to_a_frame_stay_sound():
+    text = ("a" * 473 + "APETAGEX" + "\0\0\0\0" + "\x08\x02\0\0").ljust(505, "x") + "TAG" + "c" * 40
+    for units in range(4):
+        assert carried_whole(mpeg_audio.padded("b" * 576 * units + text))
+    frame, body, unit, tried = mpeg_audio.CARRIER_FRAME, mpeg_audio.CARRIER_BODY, mpeg_audio.CARRIER_UNIT, 0
+    for units in range(1, 5):
+        whole = len(mpeg_audio.carry(bytes(unit * units)))
+        first = whole - units * frame
+
+        def place(at, first=first, units=units):
+            k, o = divmod(at - first, frame)
+            return k * unit + o - body if body <= o < body + unit and 0 <= k < units else None
+
+        for nested in (False, True):
+            cut = whole - 128 * nested
+            for flag in (0, 0x80):
+                for k in range(-1, units):  # the footer names the start of this frame, the first being that of the table
+                    size = cut - first - k * frame - (32 if flag else 0)
+                    footer = b"APETAGEX" + bytes(4) + size.to_bytes(4, "little", signed=True) + bytes(4) + bytes([0, 0, 0, flag]) + bytes(8)
+                    marks = {cut - 32 + i: b for i, b in enumerate(footer)} | ({cut + i: b for i, b in enumerate(b"TAG")} if nested else {})
+                    if size > 0 and all(place(at) is not None for at in marks):
+                        payload = bytearray(b"q" * unit * units)
+                        for at, b in marks.items():
+                            payload[place(at)] = b
+                        assert carried_whole(bytes(payload))
+                        tried += 1
+    assert tried > 10
+
+
+def test_random_texts_with_marks_stay_whole():
+    rnd = np.random.default_rng(6)
+    for _ in range(800):
+        b = bytearray(rnd.bytes(int(rnd.integers(40, 2000))))
+        for _ in range(6):
+            mark, at = (b"TAG", b"APETAGEX", b"ID3", b"\xff\xfb", b"Xing", b"VBRI")[rnd.integers(6)], int(rnd.integers(len(b) - 20))
+            b[at : at + len(mark)] = mark
+        assert carried_whole(bytes(b) + b"\xff" * (-len(b) % 576))
+
+
 @pytest.mark.parametrize("tag", ["TAG", "APETAGEX"])
 def test_texts_that_look_like_tags_stay_whole(tag):
     """A tag's letters at any place of the last or another frame are sound; frames are counted by their fixed length."""
