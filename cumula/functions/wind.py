@@ -66,6 +66,16 @@ def dlon(x: Column) -> Column:
     return 180 - F.pmod(180 - x, F.lit(360.0))
 
 
+def lon_bucket(lon: Column) -> Column:
+    """Whole degree of a longitude, 0 to 359, the same for -125 and 235."""
+    return F.pmod(F.floor(lon), F.lit(360))
+
+
+def lon_buckets(west: Column, east: Column) -> Column:
+    """Whole degrees from ``west`` to ``east`` (360 degrees on at most), each once, across the date line too."""
+    return F.array_distinct(F.transform(F.sequence(F.floor(west), F.least(F.floor(east), F.floor(west) + 359)), lambda x: F.pmod(x, F.lit(360))))
+
+
 def _shrink(lat: Column, least: float) -> Column:
     """Cosine of a latitude, ``least`` or more; null stays null."""
     return F.when(lat.isNotNull(), F.greatest(F.abs(F.cos(F.radians(lat))), F.lit(least)))

@@ -108,16 +108,21 @@ def meso_clusters(labelled: DataFrame, least: int = 4) -> DataFrame:
     return g.select(*VOLUME, "sweep", "elev", "label", "n", az.alias("az"), "range_km", "shear", "dv", F.when(F.col("vote") >= 0, "cyclonic").otherwise("anticyclonic").alias("sense"), F.greatest(F.lit(1.0), F.least(F.lit(20.0), F.col("depth"))).alias("diameter_km"), W.rotation_strength(F.col("shear")).alias("strength"))
 
 
-def tvs_candidates(gates: DataFrame, nyquist: float = 30.0, tilts: int = 3) -> DataFrame:
-    """Gate-to-gate differences along radials of the lowest tilts over the range's threshold."""
+def tvs_candidates(gates: DataFrame, nyquist: float = 30.0, tilts: int = 3, near: float = 2.0, far: float = 100.0) -> DataFrame:
+    """Pairs of gates one to three apart on a radial of the lowest tilts that differ by the threshold of their middle.
+
+    (volume, sweep, elev, az, gate, gap, range_km, dv, shear): ``gate`` is the
+    nearer one, ``range_km`` lies half-way and within ``near`` and ``far``, shear is a kilometre's.
+    """
     low = F.dense_rank().over(Win.partitionBy(*VOLUME).orderBy("elev"))
-    own = gates.where("vel is not null and range_km <= 100").withColumn("_t", low).where(F.col("_t") <= tilts)
+    own = gates.where("vel is not null").withColumn("_t", low).where(F.col("_t") <= tilts)
     w = Win.partitionBy(*VOLUME, "sweep", "az").orderBy("gate")
-    best = None
-    for k in (1, 2, 3):
-        d = F.when(F.lead("gate", k).over(w) - F.col("gate") <= 3, F.abs(W.dealias_delta(F.lead("vel", k).over(w) - F.col("vel"), F.lit(nyquist))))
-        best = F.coalesce(d, F.lit(0.0)) if best is None else F.greatest(best, F.coalesce(d, F.lit(0.0)))
-    return own.withColumn("dv", best).where(F.col("dv") >= W.tvs_threshold(F.col("range_km"))).select(*VOLUME, "sweep", "az", "gate", "range_km", "dv")
+    there = lambda c, k: F.max(c).over(w.rangeBetween(k, k))
+    pairs = F.array(*(F.struct(F.lit(k).alias("gap"), there("vel", k).alias("vel1"), there("range_km", k).alias("r1")) for k in (1, 2, 3)))
+    p = own.withColumn("_p", pairs).select(*VOLUME, "sweep", "elev", "az", "gate", "vel", F.col("range_km").alias("_r0"), F.inline("_p")).where("vel1 is not null")
+    dv = F.abs(W.dealias_delta(F.col("vel1") - F.col("vel"), F.lit(nyquist)))
+    p = p.select(*VOLUME, "sweep", "elev", "az", "gate", "gap", ((F.col("_r0") + F.col("r1")) / 2).alias("range_km"), dv.alias("dv"), F.try_divide(dv, F.col("r1") - F.col("_r0")).alias("shear"))
+    return p.where(F.col("range_km").between(near, far) & (F.col("dv") >= W.tvs_threshold(F.col("range_km"))))
 
 
 def high_z_hail(gates: DataFrame) -> DataFrame:
@@ -160,10 +165,13 @@ def suppress(candidates: DataFrame, keys: list[str], az_deg: float = 3.0, km: fl
 
 
 def lookup_reflectivity(detections: DataFrame, gates: DataFrame, az_step: float) -> DataFrame:
-    """Reflectivity at a detection (volume, det, elev, az, range_km): sweep of nearest elevation, nearest radial, rounded gate."""
+    """Reflectivity at a detection (volume, det, elev, az, range_km): sweep of nearest elevation, nearest radial, rounded gate.
+
+    Places count to a billionth, so that half-way ones do not hang on the order of a sum.
+    """
     g = gates.select(*VOLUME, F.col("elev").alias("g_elev"), F.col("az").alias("g_az"), F.col("gate").alias("g_gate"), "dbz")
     first = gates.groupBy(*VOLUME).agg(F.min("range_km").alias("r0"), F.min("gate").alias("gate0"))
-    d = detections.join(first, VOLUME).withColumn("g_gate", F.round(F.col("range_km") - F.col("r0")).cast("long") + F.col("gate0")).withColumn("g_az", F.pmod(F.round(F.col("az") / az_step).cast("long") * int(az_step), F.lit(360)))
+    d = detections.join(first, VOLUME).withColumn("g_gate", F.round(F.round(F.col("range_km") - F.col("r0"), 9)).cast("long") + F.col("gate0")).withColumn("g_az", F.pmod(F.round(F.round("az", 9) / az_step).cast("long") * int(az_step), F.lit(360)))
     j = d.join(g, [*VOLUME, "g_az", "g_gate"], "left")
     w = Win.partitionBy(*VOLUME, "det").orderBy(F.abs(F.col("g_elev") - F.col("elev")).asc_nulls_last(), "g_elev")
     return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*detections.columns, "dbz")
@@ -182,7 +190,7 @@ def keep_strongest(detections: DataFrame, keys: list[str], az_deg: float, km: fl
 
 
 def storm_cores(gates: DataFrame, dbz: float, az_step: float, least: int, reach_gates: int = 3, near: float = 10.0, far: float = 230.0) -> DataFrame:
-    """Cells of one threshold on the lowest sweep: groups of gates with Z-squared weighted centres.
+    """Cells of one threshold on the lowest sweep: groups of gates with centres weighted by squared dBZ.
 
     Gates within ``reach_gates`` and one radial step are one group; beyond 150 km
     twice as many gates are needed.
@@ -194,119 +202,33 @@ def storm_cores(gates: DataFrame, dbz: float, az_step: float, least: int, reach_
     asked = c.select(*VOLUME, F.col("id").alias("a"), "gate", (F.col("az") / az_step).cast("long").alias("r"), steps)
     asked = asked.select(*VOLUME, "a", (F.pmod(F.col("r") + F.col("da"), F.lit(turns)) * 10_000 + F.col("gate") + F.col("dg")).alias("b"))
     edges = asked.join(c.select(*VOLUME, F.col("id").alias("b")), [*VOLUME, "b"])
-    m = c.join(connected(c, edges, VOLUME), [*VOLUME, "id"]).withColumn("_w", F.pow(F.lit(10.0), F.col("dbz") / 5))
+    m = c.join(connected(c, edges, VOLUME), [*VOLUME, "id"]).withColumn("_w", F.col("dbz") * F.col("dbz"))
     a = F.radians("az")
     g = m.groupBy(*VOLUME, "label").agg(F.count("*").alias("gates"), F.max("dbz").alias("max_dbz"), F.avg("dbz").alias("mean_dbz"), (F.sum(F.col("range_km") * F.col("_w")) / F.sum("_w")).alias("range_km"), F.pmod(F.degrees(F.atan2(F.sum(F.sin(a) * F.col("_w")), F.sum(F.cos(a) * F.col("_w")))), F.lit(360.0)).alias("az"), (F.max("range_km") - F.min("range_km")).alias("depth_km"))
     g = g.where(F.col("gates") >= F.when(F.col("range_km") > 150, 2 * least).otherwise(least))
     return g.withColumn("rank", F.row_number().over(Win.partitionBy(*VOLUME).orderBy(F.desc("max_dbz"), "label")))
 
 
-#: Thresholds of the cell cascade in dBZ and the gates each needs (twice as many beyond 150 km).
-CELL_STEPS = ((60.0, 4), (55.0, 6), (50.0, 10), (45.0, 15), (40.0, 20), (35.0, 30))
-CELLS = "volume long, cell int, gates int, max_dbz double, mean_dbz double, threshold double, az double, range_km double"
-
-
-def cell_cascade(gates: DataFrame, az_step: float, reach_az: float = 2.0, reach_gates: int = 3, merge_km: float = 10.0, near: float = 10.0, far: float = 230.0) -> DataFrame:
-    """Storm cells of the lowest sweep by falling thresholds: (volume, cell, gates, max_dbz, mean_dbz, threshold, az, range_km).
-
-    At each threshold gates within ``reach_gates`` and ``reach_az`` degrees are
-    one group. A group with enough gates grows the first cell it overlaps, else
-    it is a new cell; groups of a level go from the strongest down. Then cells
-    whose Z-squared weighted centres are under ``merge_km`` apart merge, the
-    stronger keeping its place. A volume is the unit of work: its lowest sweep
-    has as many gates as the radar gives, and volumes run beside each other.
-    """
-    import numpy as np
-    import pandas as pd
-
-    lowest = F.min("elev").over(Win.partitionBy(*VOLUME))
-    least = CELL_STEPS[-1][0]
-    strong = gates.withColumn("_l", lowest).where((F.col("elev") == F.col("_l")) & (F.col("dbz") >= least) & F.col("range_km").between(near, far))
-    steps = int(reach_az / az_step + 1e-9)
-    turns = round(360 / az_step)
-
-    def groups(radial: np.ndarray, gate: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-        """Rows of each group among the rows ``own``, by search over a dictionary of places."""
-        place = {(int(radial[i]), int(gate[i])): int(i) for i in own}
-        out = []
-        while place:
-            start, i = place.popitem()
-            members, queue = [i], [start]
-            while queue:
-                r, g = queue.pop()
-                for dr in range(-steps, steps + 1):
-                    for dg in range(-reach_gates, reach_gates + 1):
-                        spot = ((r + dr) % turns, g + dg)
-                        if spot in place:
-                            members.append(place.pop(spot))
-                            queue.append(spot)
-            out.append(np.sort(np.array(members)))
-        return out
-
-    def centre(pdf: pd.DataFrame, rows: np.ndarray) -> tuple[float, float]:
-        w = 10.0 ** (pdf["dbz"].to_numpy()[rows] / 5)
-        a = np.radians(pdf["az"].to_numpy(float)[rows])
-        az = np.degrees(np.arctan2((np.sin(a) * w).sum(), (np.cos(a) * w).sum())) % 360
-        return float(az), float((pdf["range_km"].to_numpy()[rows] * w).sum() / w.sum())
-
-    def apart(one: tuple[float, float], two: tuple[float, float]) -> float:
-        d = abs(one[0] - two[0]) % 360
-        return float(np.hypot((one[1] + two[1]) / 2 * np.radians(min(d, 360 - d)), one[1] - two[1]))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["az", "gate"], kind="stable").reset_index(drop=True)
-        dbz, rng = pdf["dbz"].to_numpy(float), pdf["range_km"].to_numpy(float)
-        radial, gate = np.floor(pdf["az"].to_numpy(float) / az_step + 1e-9).astype(int), pdf["gate"].to_numpy(int)
-        cells: list[dict] = []
-        for step, need in CELL_STEPS:
-            found = [g for g in groups(radial, gate, np.flatnonzero(dbz >= step)) if len(g) >= need * (2 if rng[g].mean() > 150 else 1)]
-            for g in sorted(found, key=lambda g: (-dbz[g].max(), int(g[0]))):
-                own = set(g.tolist())
-                for c in cells:
-                    if c["rows"] & own:
-                        c["rows"] |= own
-                        break
-                else:
-                    cells.append({"rows": own, "step": step})
-        while True:
-            at = [centre(pdf, np.array(sorted(c["rows"]))) for c in cells]
-            pair = next(((i, j) for i in range(len(cells)) for j in range(i + 1, len(cells)) if apart(at[i], at[j]) < merge_km), None)
-            if pair is None:
-                break
-            peak = [dbz[list(cells[k]["rows"])].max() for k in pair]
-            keep, gone = pair if peak[0] >= peak[1] else pair[::-1]
-            cells[keep]["rows"] |= cells[gone]["rows"]
-            cells[keep]["step"] = max(cells[keep]["step"], cells[gone]["step"])
-            del cells[gone]
-        out = []
-        for c, (az, r) in zip(cells, at, strict=True):
-            z = dbz[sorted(c["rows"])]
-            out.append((key[0], len(z), float(z.max()), float(z.mean()), c["step"], az, r))
-        out.sort(key=lambda x: (-x[2], x[5]))
-        return pd.DataFrame([(v, i + 1, *rest) for i, (v, *rest) in enumerate(out)], columns=[c.split()[0] for c in CELLS.split(", ")])
-
-    return strong.select(*VOLUME, "az", "gate", "range_km", "dbz").groupBy(*VOLUME).applyInPandas(run, CELLS)
-
-
-def tvs_detections(gates: DataFrame, az_step: float, nyquist: float = 30.0, tilts: int = 3, least_dbz: float = 30.0) -> DataFrame:
-    """(volume, det, sweep, elev, az, gate, range_km, dv, kind): gate-to-gate differences over the threshold of their range.
+def tvs_detections(gates: DataFrame, az_step: float, nyquist: float = 30.0, tilts: int = 3, least_dbz: float = 30.0, near: float = 2.0, far: float = 100.0) -> DataFrame:
+    """(volume, det, sweep, elev, az, gate, gap, range_km, dv, shear, kind): gate-to-gate differences over the threshold of their range.
 
     ``azimuthal`` compares one gate on neighbouring radials around the circle,
-    ``radial`` gates up to three apart on one radial; only the lowest tilts,
-    100 km at most, and only where the nearest sweep's echo reaches ``least_dbz``.
+    half-way between which it lies; ``radial`` gates up to three apart on one
+    radial; only the lowest tilts, ``near`` to ``far`` km, and only where the nearest
+    sweep's echo reaches ``least_dbz``. Shear is a kilometre's.
     """
     low = F.dense_rank().over(Win.partitionBy(*VOLUME).orderBy("elev"))
-    own = gates.where("vel is not null and range_km <= 100").withColumn("_t", low).where(F.col("_t") <= tilts).drop("_t")
+    own = gates.where(F.col("vel").isNotNull()).withColumn("_t", low).where((F.col("_t") <= tilts) & F.col("range_km").between(near, far)).drop("_t")
     wrapped = own.unionByName(own.where(F.col("az") < az_step).withColumn("az", F.col("az") + 360))
     w = Win.partitionBy(*VOLUME, "sweep", "gate").orderBy("az")
     dv = F.abs(W.dealias_delta(F.lead("vel").over(w) - F.col("vel"), F.lit(nyquist)))
-    across = wrapped.withColumn("dv", F.when(F.lead("az").over(w) - F.col("az") <= az_step * 1.5, dv)).where(F.col("az") < 360)
-    across = across.where(F.col("dv") >= W.tvs_threshold(F.col("range_km"))).withColumn("kind", F.lit("azimuthal"))
-    along = tvs_candidates(gates, nyquist, tilts).join(own.select(*VOLUME, "sweep", "elev").distinct(), [*VOLUME, "sweep"]).withColumn("kind", F.lit("radial"))
-    names = [*VOLUME, "sweep", "elev", "az", "gate", "range_km", "dv", "kind"]
-    both = across.select(*names).unionByName(along.select(*names))
-    both = both.withColumn("det", F.concat_ws(":", "kind", "sweep", F.col("az").cast("int"), "gate"))
-    return lookup_reflectivity(both.select(*VOLUME, "det", *names[1:]), gates, az_step).where(F.col("dbz") >= least_dbz).drop("dbz")
+    turn = F.lead("az").over(w) - F.col("az")
+    across = wrapped.withColumns({"dv": F.when(turn <= az_step * 1.5, dv), "_turn": turn}).where(F.col("az") < 360).where(F.col("dv") >= W.tvs_threshold(F.col("range_km")))
+    across = across.select(*VOLUME, "sweep", "elev", F.pmod(F.col("az") + F.col("_turn") / 2, F.lit(360.0)).alias("az"), "gate", F.lit(0).alias("gap"), "range_km", "dv", F.try_divide(F.col("dv"), F.col("range_km") * F.radians("_turn")).alias("shear"), F.lit("azimuthal").alias("kind"))
+    along = tvs_candidates(gates, nyquist, tilts, near, far).withColumns({"az": F.col("az").cast("double"), "kind": F.lit("radial")})
+    both = across.unionByName(along)
+    both = both.withColumn("det", F.concat_ws(":", "kind", "sweep", F.col("az").cast("string"), "gate", "gap"))
+    return lookup_reflectivity(both.select(*VOLUME, "det", "sweep", "elev", "az", "gate", "gap", "range_km", "dv", "shear", "kind"), gates, az_step).where(F.col("dbz") >= least_dbz).drop("dbz")
 
 
 def match_tilts(detections: DataFrame, km: float = 10.0) -> DataFrame:
@@ -332,16 +254,38 @@ def match_tilts(detections: DataFrame, km: float = 10.0) -> DataFrame:
     return folded.select(*VOLUME, "group", F.size("g.tilts").alias("tilts"), F.explode("g.dets").alias("det"))
 
 
-def mesocyclone_tilts(gates: DataFrame, az_step: float, least_tilts: int = 2, lowest: int = 4, least_dbz: float = 20.0) -> DataFrame:
-    """Rotation clusters of the lowest tilts with echo at their centre, found on two tilts or more at one place."""
+def tilt_rotations(gates: DataFrame, az_step: float, least: int = 4, lowest: int = 4, least_dbz: float = 20.0) -> DataFrame:
+    """Rotation clusters (volume, det, sweep, tilt, elev, az, range_km, shear, dv, sense, diameter_km, strength) of the lowest tilts with echo at their centre.
+
+    A volume that has no reflectivity at all keeps its clusters.
+    """
     low = F.dense_rank().over(Win.partitionBy(*VOLUME).orderBy("elev"))
     own = gates.withColumn("tilt", low).where(F.col("tilt") <= lowest)
     tilt = own.select(*VOLUME, "sweep", "tilt").distinct()
-    c = meso_clusters(candidate_components(shear_candidates(own.drop("tilt"), max_gap=az_step), az_step))
+    c = meso_clusters(candidate_components(shear_candidates(own.drop("tilt"), max_gap=az_step), az_step), least)
     named = c.withColumn("det", F.concat_ws(":", "sweep", "label")).join(tilt, [*VOLUME, "sweep"])
-    seen = lookup_reflectivity(named, own.drop("tilt"), az_step).where(F.col("dbz") >= least_dbz)
-    groups = match_tilts(seen.select(*VOLUME, "det", "tilt", "az", "range_km")).where(F.col("tilts") >= least_tilts)
-    return seen.join(groups, [*VOLUME, "det"]).drop("tilt", "dbz")
+    echoes = gates.groupBy(*VOLUME).agg(F.count("dbz").alias("_echoes"))
+    seen = lookup_reflectivity(named, gates, az_step).join(echoes, VOLUME)
+    return seen.where((F.col("dbz") >= least_dbz) | (F.col("_echoes") == 0)).drop("dbz", "_echoes")
+
+
+def mesocyclone_detections(rotations: DataFrame, least_tilts: int = 2, km: float = 10.0) -> DataFrame:
+    """One row for each rotation of ``tilt_rotations`` found on ``least_tilts`` tilts or more of one place.
+
+    Place and base height (of the beam) are the lowest tilt's, shear, difference,
+    strength, sense and diameter those of the tilt with the greatest shear.
+    """
+    groups = match_tilts(rotations.select(*VOLUME, "det", "tilt", "az", "range_km"), km).where(F.col("tilts") >= least_tilts)
+    m = rotations.join(groups, [*VOLUME, "det"])
+    low = F.min(F.struct("tilt", "det", "az", "range_km", "elev"))
+    best = F.min(F.struct((-F.col("shear")).alias("s"), "tilt", "det", "shear", "dv", "strength", "sense", "diameter_km"))
+    g = m.groupBy(*VOLUME, "group", "tilts").agg(low.alias("l"), best.alias("b"))
+    return g.select(*VOLUME, "tilts", F.col("l.det").alias("det"), "l.az", "l.range_km", "b.shear", "b.dv", "b.strength", "b.sense", "b.diameter_km", W.beam_height(F.col("l.range_km"), F.col("l.elev")).alias("base_km"))
+
+
+def mesocyclone_tilts(gates: DataFrame, az_step: float, least_tilts: int = 2, lowest: int = 4, least_dbz: float = 20.0, least: int = 4, km: float = 10.0) -> DataFrame:
+    """Rotation found on two tilts or more of one place, one row a detection."""
+    return mesocyclone_detections(tilt_rotations(gates, az_step, least, lowest, least_dbz), least_tilts, km)
 
 
 def associate(detections: DataFrame, cells: DataFrame, km: float) -> DataFrame:

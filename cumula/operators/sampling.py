@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
-from cumula.functions.wind import distance_score, haversine
+from cumula.functions.wind import distance_score, dlon, haversine, lon_bucket, lon_buckets
 from cumula.shared import written
 
 
-def _probe(cells: DataFrame, points: DataFrame, k: int, bucket: float, km: bool) -> DataFrame:
-    """Ranked candidates of each point from its own and the neighbouring buckets, and whether they are surely the nearest."""
+def _probe(cells: DataFrame, points: DataFrame, k: int, bucket: float, km: bool, box: tuple[float, ...]) -> DataFrame:
+    """Ranked candidates of each point from its own and the neighbouring buckets, and whether they are surely the nearest.
+
+    They are where no cell outside the buckets can be nearer, and where the buckets hold the cells' whole ``box`` (south, north, west, east in 0 to 360).
+    """
     turns = math.ceil(360 / bucket)
     own = cells.select("grid_index", "lat", "lon", F.floor(F.col("lat") / bucket).alias("_by"), F.pmod(F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / bucket), F.lit(turns)).alias("_bx"))
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
@@ -27,7 +30,22 @@ def _probe(cells: DataFrame, points: DataFrame, k: int, bucket: float, km: bool)
         whole = 111.0 * bucket * F.when(F.abs("plat") + 2 * bucket < 85, edge).otherwise(0.0)
     else:
         whole = F.pow(bucket * F.greatest(F.abs(F.cos(F.radians("plat"))), F.lit(0.2)), 2.0)
-    return ranked.withColumn("complete", (F.max("rank").over(Win.partitionBy("point_id")) == k) & (F.max("score").over(Win.partitionBy("point_id")) <= whole))
+    by, bx = F.floor(F.col("plat") / bucket), F.floor(F.pmod(F.col("plon"), F.lit(360.0)) / bucket)
+    south, north, west, east = (math.floor(x / bucket) for x in box)
+    holds = (by - 1 <= south) & (by + 1 >= north) & (F.lit(turns <= 3) | ((bx - 1 <= west) & (bx + 1 >= east)))
+    sure = (F.max("rank").over(Win.partitionBy("point_id")) == k) & (F.max("score").over(Win.partitionBy("point_id")) <= whole)
+    return ranked.withColumn("complete", holds | sure)
+
+
+def _placed(points: DataFrame) -> DataFrame:
+    return points.where("plat is not null and plon is not null and not isnan(plat) and not isnan(plon)")
+
+
+def _unplaced(points: DataFrame, like: DataFrame) -> DataFrame:
+    """A row of nulls, in the columns of ``like``, for each point without coordinates."""
+    lost = points.where("plat is null or plon is null or isnan(plat) or isnan(plon)")
+    own = {"point_id", "plat", "plon"}
+    return lost.select(*((F.col(f.name) if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema))
 
 
 def k_nearest(cells: DataFrame, points: DataFrame, k: int, bucket: float = 1.0, km: bool = False) -> DataFrame:
@@ -35,12 +53,20 @@ def k_nearest(cells: DataFrame, points: DataFrame, k: int, bucket: float = 1.0,
 
     Ties go to the lesser grid_index. Points look in neighbouring buckets first;
     those whose k-th cell may lie beyond look again in buckets twice as wide,
-    until these cover the globe, so the result is exact for cells of any spacing.
+    until these hold all cells, so the result is exact for cells of any spacing.
     ``km``: the score is the great-circle distance in place of squared degrees.
+    A point without coordinates has one row without a cell; without any cells
+    only such points have rows. Cells without coordinates are nobody's nearest.
     """
+    every, points = points, _placed(points)
+    cells = cells.where("lat is not null and lon is not null")
+    around = F.pmod(F.col("lon"), F.lit(360.0))
+    box = tuple(cells.agg(F.min("lat"), F.max("lat"), F.min(around), F.max(around)).first())
+    if box[0] is None:
+        box = (0.0, 0.0, 0.0, 0.0)
     out = None
     while True:
-        found = written(_probe(cells, points, k, bucket, km))
+        found = written(_probe(cells, points, k, bucket, km, box))
         last = bucket >= 180
         done = found if last else found.where("complete")
         out = done if out is None else out.unionByName(done)
@@ -50,46 +76,56 @@ def k_nearest(cells: DataFrame, points: DataFrame, k: int, bucket: float = 1.0,
         if points.isEmpty():
             break
         bucket = min(2 * bucket, 180.0) if bucket < 90 else 180.0
-    return out.drop("complete")
+    out = out.drop("complete")
+    return out.unionByName(_unplaced(every, out))
 
 
 def sample_nearest(values: DataFrame, cells: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, point_id, grid_index, value) of the nearest cell; ``values`` has keys, grid_index and value."""
+    """(keys, point_id, grid_index, value) of the nearest cell; ``values`` has keys, grid_index and value.
+
+    A point without coordinates has one row, the rest of it null.
+    """
     near = k_nearest(cells, points, 1).select("point_id", "grid_index")
-    return values.join(near, "grid_index").select(*keys, "point_id", "grid_index", "value")
+    got = values.join(near, "grid_index").select(*keys, "point_id", "grid_index", "value")
+    return got.unionByName(_unplaced(points, got))
 
 
 def idw_weights(cells: DataFrame, points: DataFrame, k: int = 4) -> DataFrame:
     """(point_id, grid_index, weight): 1 over squared distance of the k nearest, or all weight on an exact hit."""
-    near = k_nearest(cells, points, k)
+    near = k_nearest(cells, points, k).where("grid_index is not null")
     exact = F.min("score").over(Win.partitionBy("point_id")) <= 1e-12
     weighed = near.withColumn("w", F.when(exact, F.when(F.col("rank") == 1, 1.0)).otherwise(1 / F.greatest("score", F.lit(1e-12))))
     return weighed.where("w is not null").select("point_id", "grid_index", (F.col("w") / F.sum("w").over(Win.partitionBy("point_id"))).alias("weight"))
 
 
 def sample_idw4(values: DataFrame, cells: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, point_id, value, contributors): weights count over the cells that have a value; null if none has."""
+    """(keys, point_id, value, contributors): weights count over the cells that have a value; null if none has.
+
+    A point without coordinates has one row, the rest of it null.
+    """
     joined = values.join(idw_weights(cells, points), "grid_index")
     there = F.when(F.col("value").isNotNull(), F.col("weight"))
-    return joined.groupBy(*keys, "point_id").agg(F.try_divide(F.sum(there * F.col("value")), F.sum(there)).alias("value"), F.array_sort(F.collect_list(F.struct("grid_index", "weight"))).alias("contributors"))
+    got = joined.groupBy(*keys, "point_id").agg(F.try_divide(F.sum(there * F.col("value")), F.sum(there)).alias("value"), F.array_sort(F.collect_list(F.struct("grid_index", "weight"))).alias("contributors"))
+    return got.unionByName(_unplaced(points, got))
 
 
 def box_cells(cells: DataFrame, points: DataFrame, half_km: float, km_per_deg: float = 111.0) -> DataFrame:
     """(point_id, grid_index) of the cells in a box around each point.
 
     The box is ``half_km`` high and wide on each side, longitudes widened by the
-    cosine of the latitude (0.2 or more). Cells and points meet in buckets of one degree.
+    cosine of the latitude (0.2 or more) and counted across the date line. Cells
+    and points meet in buckets of one degree; a point without coordinates has no cells.
     """
     half = half_km / km_per_deg
     wide = half / F.greatest(F.abs(F.cos(F.radians("plat"))), F.lit(0.2))
     asked = points.select("point_id", "plat", "plon", wide.alias("w"))
-    asked = asked.withColumn("_by", F.explode(F.sequence(F.floor(F.col("plat") - half), F.floor(F.col("plat") + half)))).withColumn("_bx", F.explode(F.sequence(F.floor(F.col("plon") - F.col("w")), F.floor(F.col("plon") + F.col("w")))))
-    own = cells.select("grid_index", "lat", "lon", F.floor("lat").alias("_by"), F.floor("lon").alias("_bx"))
-    return asked.join(own, ["_by", "_bx"]).where((F.abs(F.col("lat") - F.col("plat")) <= half) & (F.abs(F.col("lon") - F.col("plon")) <= F.col("w"))).select("point_id", "grid_index")
+    asked = asked.withColumn("_by", F.explode(F.sequence(F.floor(F.col("plat") - half), F.floor(F.col("plat") + half)))).withColumn("_bx", F.explode(lon_buckets(F.col("plon") - F.col("w"), F.col("plon") + F.col("w"))))
+    own = cells.select("grid_index", "lat", "lon", F.floor("lat").alias("_by"), lon_bucket(F.col("lon")).alias("_bx"))
+    return asked.join(own, ["_by", "_bx"]).where((F.abs(F.col("lat") - F.col("plat")) <= half) & (F.abs(dlon(F.col("lon") - F.col("plon"))) <= F.col("w"))).select("point_id", "grid_index")
 
 
 def sample_box_mean(values: DataFrame, cells: DataFrame, points: DataFrame, keys: list[str], half_km: float, km_per_deg: float = 111.0) -> DataFrame:
-    """(keys, point_id, value, n): mean over a box around each point, else the nearest cell's value."""
+    """(keys, point_id, value, n): mean over a box around each point, else the nearest cell's value; a point without coordinates has one row of nulls and n 0."""
     inside = box_cells(cells, points, half_km, km_per_deg)
     mean = values.join(inside, "grid_index").groupBy(*keys, "point_id").agg(F.avg("value").alias("box"), F.count("value").alias("n"))
     nearest = sample_nearest(values, cells, points, keys).withColumnRenamed("value", "near").drop("grid_index")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cumula import adapters as A
 from cumula.functions import thermo as T
+from cumula.functions import wind as W
 from cumula.operators import parcels as PA
 from cumula.operators import places as PL
 from cumula.operators import sections as SE
@@ -228,6 +229,44 @@ l as (select area_id, arg_max(kept, i) as kept from f group by 1), u as (select
 select area_id, rank::int as rank, kept[rank].place_id as place_id, round(kept[rank].score, 6) as score from u
 """
 
+#: Places of an area in order; a recursive fold keeps those that no kept one crowds.
+PLACE_DECLUTTER_SQL = f"""
+with recursive {A.POINTS_SQL}, a as (select n_nationkey::bigint as area_id, -123.07::double + n_nationkey * 5 % 27 - 2 as west, -123.07::double + n_nationkey * 5 % 27 + 2 as east, 26.03::double + n_nationkey * 7 % 8 - 1.5 as south, 26.03::double + n_nationkey * 7 % 8 + 1.5 as north from nation),
+p as (select *, (0.2::double + point_id % 5 * 0.05::double) as half, greatest(abs(cos(radians(plat))), 0.25) as shrink from points),
+c as (select point_id as place_id, plat as lat, plon as lon, shrink, plon - half * 1.4 / shrink as cw, plon + half * 1.4 / shrink as ce, plat - half as cs, plat + half as cn from p),
+j as (select *, 2 * 6371 * asin(sqrt(least(1, sin(radians(lat - (south + north) / 2) / 2) ** 2 + cos(radians((south + north) / 2)) * cos(radians(lat)) * sin(radians(lon - (west + east) / 2) / 2) ** 2))) as center_km,
+  2 * 6371 * asin(sqrt(least(1, sin(radians(north - south) / 2) ** 2 + cos(radians(south)) * cos(radians(north)) * sin(radians(east - west) / 2) ** 2))) as diagonal,
+  least(abs(lon - west) * shrink, abs(east - lon) * shrink, abs(lat - south), abs(north - lat)) * 111.32 as margin_km,
+  least(greatest(1, (east - west) * abs(cos(radians((south + north) / 2))) * 111.32 / 2), greatest(1, (north - south) * 111.32 / 2)) as half_km
+  from c, a where cw <= east and ce >= west and cs <= north and cn >= south),
+s as (select *, round(0.55 * greatest(0, least(1, margin_km / half_km)) + 0.35 * greatest(0, least(1, 1 - center_km / greatest(1, diagonal))) + 0.1 * (1 - place_id / (select greatest(1, max(c_custkey))::double from customer)), 9) as score, round(center_km, 6) as ckm from j),
+o as materialized (select *, (ce - cw) * greatest(abs(cos(radians((cs + cn) / 2))), 0.25) * 111.32 * (cn - cs) * 111.32 as area, row_number() over (partition by area_id order by score desc, ckm, place_id) as i from s),
+x as materialized (select b.area_id, b.i as better, w.i as worse from o b join o w on b.area_id = w.area_id and b.i < w.i and abs(b.lat - w.lat) < 2 and abs(b.lon - w.lon) < 3
+  where 2 * 6371 * asin(sqrt(least(1, sin(radians(w.lat - b.lat) / 2) ** 2 + cos(radians(b.lat)) * cos(radians(w.lat)) * sin(radians(w.lon - b.lon) / 2) ** 2))) < 40
+    or (least(b.ce, w.ce) > greatest(b.cw, w.cw) and least(b.cn, w.cn) > greatest(b.cs, w.cs)
+      and (least(b.ce, w.ce) - greatest(b.cw, w.cw)) * greatest(abs(cos(radians((greatest(b.cs, w.cs) + least(b.cn, w.cn)) / 2))), 0.25) * 111.32 * (least(b.cn, w.cn) - greatest(b.cs, w.cs)) * 111.32 / greatest(1, least(b.area, w.area)) > 1.0::double / 3)),
+y as materialized (select area_id, worse as i, list(better) as rivals from x group by 1, 2),
+n as materialized (select o.area_id, o.i, coalesce(y.rivals, []::bigint[]) as rivals from o left join y using (area_id, i)),
+f(area_id, i, kept) as (
+  select distinct area_id, 0::bigint, []::bigint[] from o
+  union all
+  select f.area_id, n.i, case when list_has_any(f.kept, n.rivals) then f.kept else list_append(f.kept, n.i) end from f join n on n.area_id = f.area_id and n.i = f.i + 1),
+l as (select area_id, unnest(arg_max(kept, i)) as i from f group by 1)
+select o.area_id, (row_number() over (partition by o.area_id order by i))::int as rank, o.place_id, round(o.ckm, 6) as center_km, round(o.margin_km, 6) as margin_km, round(o.score, 6) as score from l join o using (area_id, i)
+"""
+
+
+def place_declutter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places of each nation's box whose crops do not crowd: 40 km apart, at most a third shared."""
+    n = F.col("n_nationkey")
+    areas = A.table(spark, sf_dir, "nation").select(n.cast("long").alias("area_id"), (-123.07 + n * 5 % 27 - 2).alias("west"), (-123.07 + n * 5 % 27 + 2).alias("east"), (26.03 + n * 7 % 8 - 1.5).alias("south"), (26.03 + n * 7 % 8 + 1.5).alias("north"))
+    p = F.col("point_id")
+    crop = W.centered_bounds(F.col("plon"), F.col("plat"), 0.2 + p % 5 * 0.05, 1.4)
+    places = A.points(spark, sf_dir).select(p.alias("place_id"), F.col("plat").alias("lat"), F.col("plon").alias("lon"), p.alias("source_index"), *(x.alias(name) for x, name in zip(crop, PL.CROP, strict=True)))
+    ranked = PL.rank_places(places, areas, "intersects").withColumns({"score": F.round("score", 9), "center_km": F.round("center_km", 6)})
+    order = [-F.col("score"), F.col("center_km"), F.col("source_index"), F.col("place_id")]
+    return _r(PL.declutter(ranked, order, 40.0, 1 / 3).select("area_id", "rank", "place_id", "center_km", "margin_km", "score"))
+
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instability of every column for three kinds of parcel."""
@@ -246,8 +285,8 @@ def severe_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(j.select(*keys, "sbcape", "mucape", "muecape", T.stp_fixed(c("sbcape"), c("sblcl"), c("srh_0_1km"), c("shear_0_6km")).alias("stp"), T.stp_effective(c("sbcape"), c("sblcl"), c("srh_0_1km"), c("shear_0_6km"), c("sbcin")).alias("stp_eff"), T.scp(c("mucape"), c("srh_0_3km"), c("shear_0_6km")).alias("scp"), T.ehi(c("sbcape"), c("srh_0_1km")).alias("ehi"), T.ratio_guarded(c("muecape"), c("mucape")).alias("ratio")), 4)
 
 
-QUERIES = {f.__name__: f for f in (temperature_advection, vorticity, destagger, rotate_lon, fill_masked, isolines, band_areas, route_samples, section_products, section_facts, place_selection, place_scores, parcels, severe_bundle)}
+QUERIES = {f.__name__: f for f in (temperature_advection, vorticity, destagger, rotate_lon, fill_masked, isolines, band_areas, route_samples, section_products, section_facts, place_selection, place_scores, place_declutter, parcels, severe_bundle)}
 ORACLES = {
     "temperature_advection": TEMPERATURE_ADVECTION_SQL, "vorticity": VORTICITY_SQL, "destagger": DESTAGGER_SQL, "rotate_lon": ROTATE_LON_SQL, "fill_masked": FILL_MASKED_SQL, "isolines": ISOLINES_SQL, "band_areas": BAND_AREAS_SQL,
-    "route_samples": ROUTE_SAMPLES_SQL, "section_products": SECTION_PRODUCTS_SQL, "section_facts": SECTION_FACTS_SQL, "place_scores": PLACE_SCORES_SQL, "place_selection": PLACE_SELECTION_SQL,
+    "route_samples": ROUTE_SAMPLES_SQL, "section_products": SECTION_PRODUCTS_SQL, "section_facts": SECTION_FACTS_SQL, "place_scores": PLACE_SCORES_SQL, "place_selection": PLACE_SELECTION_SQL, "place_declutter": PLACE_DECLUTTER_SQL,
 }

@@ -37,7 +37,8 @@ def test_query_matches_sql(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_runs(spark, sf, name):
-    assert registry.QUERIES[name](spark, sf).count() > 0
+    larger = name in ("cell_cascade",)  # the smallest tables have too few strong gates
+    assert registry.QUERIES[name](spark, sf.replace("0.001", "0.01") if larger else sf).count() > 0
 
 
 @pytest.mark.parametrize(("name", "records"), [("poi_json", "items"), ("run_reports_json", "artifacts")])
