@@ -273,6 +273,13 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(PA.parcel(A.levels(spark, sf_dir), ["run", "grid_index"]), 4)
 
 
+def ecape_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entraining instability of every column for the right-moving storm, with indices and ratios to the surface table's own instability."""
+    lv = A.levels(spark, sf_dir).withColumn("z_m", F.when(F.col("k") == 0, 0.0).otherwise(F.col("z_m")))
+    native = A.surface(spark, sf_dir).select("run", "grid_index", (F.col("rh") * 20).alias("sbcape"), (F.col("rh") * 15).alias("mucape"))
+    return _r(PA.ecape_fields(lv, ["run", "grid_index"], native), 4)
+
+
 def severe_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composite indices of every column from its parcels and winds."""
     from cumula.operators import profile as C
@@ -285,7 +292,7 @@ def severe_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(j.select(*keys, "sbcape", "mucape", "muecape", T.stp_fixed(c("sbcape"), c("sblcl"), c("srh_0_1km"), c("shear_0_6km")).alias("stp"), T.stp_effective(c("sbcape"), c("sblcl"), c("srh_0_1km"), c("shear_0_6km"), c("sbcin")).alias("stp_eff"), T.scp(c("mucape"), c("srh_0_3km"), c("shear_0_6km")).alias("scp"), T.ehi(c("sbcape"), c("srh_0_1km")).alias("ehi"), T.ratio_guarded(c("muecape"), c("mucape")).alias("ratio")), 4)
 
 
-QUERIES = {f.__name__: f for f in (temperature_advection, vorticity, destagger, rotate_lon, fill_masked, isolines, band_areas, route_samples, section_products, section_facts, place_selection, place_scores, place_declutter, parcels, severe_bundle)}
+QUERIES = {f.__name__: f for f in (temperature_advection, vorticity, destagger, rotate_lon, fill_masked, isolines, band_areas, route_samples, section_products, section_facts, place_selection, place_scores, place_declutter, parcels, ecape_fields, severe_bundle)}
 ORACLES = {
     "temperature_advection": TEMPERATURE_ADVECTION_SQL, "vorticity": VORTICITY_SQL, "destagger": DESTAGGER_SQL, "rotate_lon": ROTATE_LON_SQL, "fill_masked": FILL_MASKED_SQL, "isolines": ISOLINES_SQL, "band_areas": BAND_AREAS_SQL,
     "route_samples": ROUTE_SAMPLES_SQL, "section_products": SECTION_PRODUCTS_SQL, "section_facts": SECTION_FACTS_SQL, "place_scores": PLACE_SCORES_SQL, "place_selection": PLACE_SELECTION_SQL, "place_declutter": PLACE_DECLUTTER_SQL,
