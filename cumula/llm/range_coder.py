@@ -25,7 +25,7 @@ from zlib import crc32
 import numpy as np
 
 #: Ids in a block at most and at least, blocks to be coded side by side, and the most numbers that order 0 may hold.
-BLOCK, LEAST_BLOCK, LANES, ROOM, MAGIC = 8192, 2048, 1024, 1 << 25, b"CMR3"
+BLOCK, LEAST_BLOCK, LANES, ROOM, MAGIC = 8192, 2048, 1024, 1 << 24, b"CMR3"
 FRONT, HEAD = struct.Struct("<4sIII"), struct.Struct("<4sIII")
 FULL, LEAST, WORD = 1 << 48, 1 << 32, 16
 #: Scale of a mixed distribution; followers of a context; slots of the two context tables; speed of the weights.
@@ -56,7 +56,9 @@ class _Counts:
         self._sum()
 
     def _sum(self) -> None:
-        self.ends = (self.counts.cumsum(1, dtype=np.int64) + self.offset).reshape(-1)  # ascending over all blocks
+        self.sums = np.cumsum(self.counts, axis=1, dtype=np.int64, out=getattr(self, "sums", None))
+        self.sums += self.offset
+        self.ends = self.sums.reshape(-1)  # ascending over all blocks
         self.total = self.ends[self.k - 1 :: self.k] & 0xFFFFFFFF
 
     def share(self, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

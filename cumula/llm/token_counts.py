@@ -17,7 +17,8 @@ from cumula.llm.common import texts
 
 #: Documents and frequencies of a block, pre-tokens a worker remembers, and the bits of a frequency.
 BLOCK_DOCS, BLOCK_ENTRIES, MEMO, FREQ_BITS = 1 << 14, 3_000_000, 500_000, 17
-HELD_BLOCKS = 256
+#: Blocks whose sums a task holds, and the bits of an input partition's number that one group of blocks leaves out.
+HELD_BLOCKS, GROUP_BITS = 256, 8
 MOST = (1 << FREQ_BITS) - 1
 
 
@@ -195,16 +196,17 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for each row of ``docs`` (doc_id, text), without begin or end tokens.
 
     Tasks turn blocks of documents into pre-token frequencies. The rows of one
-    pre-token meet after one shuffle, are multiplied by the token count of that
-    pre-token, made once, and summed by document of a block. A frequent
-    pre-token has one row for each block of up to 16,384 documents, no ids are
-    kept. Null and empty texts count 0, long texts are read to their end,
+    pre-token in 256 input partitions meet after one shuffle, are multiplied by
+    the token count of that pre-token, made once, and summed by document of a
+    block. A frequent pre-token has one row for each block of up to 16,384
+    documents, no ids are kept. Null and empty texts count 0, long texts are read to their end,
     repeated rows and rows without an id stay rows of their own; an empty table
     gives an empty result. Blocks are numbered by input partition, so ``docs``
     should be a scan or a checkpoint, which a lost task reads alike again.
     """
     view = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = view.mapInArrow(_blocks(tokenizer), "key string, pretoken string, block long, entries binary, ids binary, sizes binary")
-    dealt = rows.repartition("key").sortWithinPartitions("key").drop("key")
+    # A frequent pre-token has a row in every block: so that these meet in many tasks, keys are dealt by groups of input partitions too.
+    dealt = rows.repartition("key", F.shiftright("block", 32 + GROUP_BITS)).sortWithinPartitions("key").drop("key")
     partial = dealt.mapInArrow(_counted(tokenizer), "block long, docs binary, sums binary, ids binary, sizes binary")
     return partial.groupBy("block").applyInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
