@@ -64,9 +64,10 @@ def scalar_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(out, "run", "grid_index")
 
 
-SCALAR_HEAT_SQL = f"""
-with {A.SURFACE_SQL},
-a as (select *, sqrt(u * u + v * v) as ws, t_c * 1.8 + 32 as f, 6.112 * exp(17.67 * t_c / (t_c + 243.5)) * (1 - rh / 100) as vpd from surface),
+def heat_steps(source: str) -> str:
+    """Steps a, b and d of heat and fire indices over a table with t_c, rh, u, v and q."""
+    return f"""
+a as (select *, sqrt(u * u + v * v) as ws, t_c * 1.8 + 32 as f, 6.112 * exp(17.67 * t_c / (t_c + 243.5)) * (1 - rh / 100) as vpd from {source}),
 b as (select *, 0.5 * (f + 61 + (f - 68) * 1.2 + rh * 0.094) as simple,
   -42.379 + 2.04901523 * f + 10.14333127 * rh - 0.22475541 * f * rh - 0.00683783 * f * f - 0.05481717 * rh * rh
     + 0.00122874 * f * f * rh + 0.00085282 * f * rh * rh - 0.00000199 * f * f * rh * rh
@@ -77,6 +78,11 @@ b as (select *, 0.5 * (f + 61 + (f - 68) * 1.2 + rh * 0.094) as simple,
         else 21.0606 + 0.005565 * rh * rh - 0.00035 * rh * f - 0.483199 * rh end) / 30 as m from a),
 d as (select *, ((case when (simple + f) / 2 >= 80 then rothfusz else simple end) - 32) / 1.8 as hi,
   (1 - 2 * m + 1.5 * m * m - 0.5 * m * m * m) * sqrt(1 + (ws * 2.2369362920544) ** 2) / 0.3002 as fos from b)
+"""
+
+
+SCALAR_HEAT_SQL = f"""
+with {A.SURFACE_SQL}, {heat_steps("surface")}
 select run, grid_index, round(hi, 5) as heat_index, round(wc, 5) as wind_chill, round(case when t_c >= (80.0::double - 32) / 1.8 then hi else wc end, 5) as apparent,
   round(fos, 5) as fosberg, round(vpd * ws, 5) as hdw, round(greatest(0, least(100, 0.5 * fos + 0.5 * least(100, vpd * ws))), 5) as fire_weather, round(q * 1000 * ws, 5) as transport
 from d

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("scalars", "areas", "hours", "columns", "objects", "radar", "stencils", "files", "requests", "checks")
+PLANS = ("scalars", "areas", "hours", "columns", "objects", "radar", "stencils", "files", "requests", "catalogues", "checks")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
