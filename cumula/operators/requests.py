@@ -40,14 +40,14 @@ def sample_products(values: DataFrame, cells: DataFrame, points: DataFrame, slug
     own = _wanted(values, slugs, keys)
     blocked = blockers(values, slugs, keys)
     sampler = S.sample_nearest if method == "nearest" else S.sample_idw4
-    got = sampler(own, cells, points, [*keys, "product"]).join(F.broadcast(blocked.select(*keys, "product")), [*keys, "product"], "left_anti")
+    got = sampler(own, cells, points, [*keys, "product"]).join(blocked.select(*keys, "product"), [*keys, "product"], "left_anti")
     return got.select(*keys, "point_id", "product", "value", F.lit(None).cast("string").alias("reason")).unionByName(blocked, allowMissingColumns=True)
 
 
 def summarize_products(values: DataFrame, cells: DataFrame, polygons: DataFrame, slugs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, product, poly_id, counts, min, max, mean, reason): wanted products over polygons, and rows with reasons for blocked ones."""
     blocked = blockers(values, slugs, keys)
-    own = _wanted(values, slugs, keys).join(F.broadcast(blocked.select(*keys, "product")), [*keys, "product"], "left_anti")
+    own = _wanted(values, slugs, keys).join(blocked.select(*keys, "product"), [*keys, "product"], "left_anti")
     got = R.summarize_area(own, cells, polygons, [*keys, "product"])
     return got.withColumn("reason", F.lit(None).cast("string")).unionByName(blocked, allowMissingColumns=True)
 
