@@ -30,9 +30,12 @@ pr as (select *, lead(p_hpa) over w as p1, lead(z_m) over w as z1, lead(t_c) ove
 )
 INTERP_LEVELS_SQL = f"""
 with {PAIRS_SQL},
-a as (select run, grid_index, case when p1 = 750 then t1 else t_c + ln(p_hpa / 750) / ln(p_hpa / p1) * (t1 - t_c) end as tl, case when p1 = 750 then q1 else q + ln(p_hpa / 750) / ln(p_hpa / p1) * (q1 - q) end as ql, t_c + (p_hpa - 750) / (p_hpa - p1) * (t1 - t_c) as ti from pr where p_hpa > 750 and p1 <= 750),
-b as (select run, grid_index, t_c + (2000 - z_m) / (z1 - z_m) * (t1 - t_c) as t, u + (2000 - z_m) / (z1 - z_m) * (u1 - u) as u, v + (2000 - z_m) / (z1 - z_m) * (v1 - v) as v from pr where z_m <= 2000 and z1 > 2000)
-select run, grid_index, round(tl, 8) as t_log, round(ql, 8) as q_log, round(ti, 8) as t_lin, round(t, 8) as t_z, round(u, 8) as u_z, round(v, 8) as v_z from a join b using (run, grid_index)
+hits as (select *, p_hpa > 750 and p1 <= 750 as hit, z_m <= 2000 and z1 > 2000 as rise from pr),
+g as (select run, grid_index, count(*) filter (where hit) as n, count(*) filter (where rise) as m,
+  max(case when hit then case when p1 = 750 then t1 else t_c + ln(p_hpa / 750) / ln(p_hpa / p1) * (t1 - t_c) end end) as tl, max(case when hit then case when p1 = 750 then q1 else q + ln(p_hpa / 750) / ln(p_hpa / p1) * (q1 - q) end end) as ql,
+  max(case when hit then t_c + (p_hpa - 750) / (p_hpa - p1) * (t1 - t_c) end) as ti, max(case when rise then t_c + (2000 - z_m) / (z1 - z_m) * (t1 - t_c) end) as t, max(case when rise then u + (2000 - z_m) / (z1 - z_m) * (u1 - u) end) as u, max(case when rise then v + (2000 - z_m) / (z1 - z_m) * (v1 - v) end) as v
+  from hits group by 1, 2)
+select run, grid_index, round(tl, 8) as t_log, round(ql, 8) as q_log, round(ti, 8) as t_lin, round(t, 8) as t_z, round(u, 8) as u_z, round(v, 8) as v_z from g where n > 0 and m > 0
 """
 
 
@@ -102,10 +105,10 @@ d as (select *, greatest(greatest(q, 0) * p_hpa / (0.622 + greatest(q, 0)), 1e-1
 tv as (select *, case when q is not null then 0.622 * e / greatest(p_hpa - e, 1e-6) end as r from d),
 w as (select *, (t_c + 273.15) * (1 + r / 0.622) / (1 + r) - 273.15 as tv from tv),
 pr as (select *, lead(p_hpa) over x as p1, lead(z_m) over x as z1, lead(t_c) over x as t1, lead(tv) over x as tv1 from w window x as (partition by run, grid_index order by k)),
-z as (select run, grid_index, max(case when z_m <= 200 and z1 > 200 then t_c + (200 - z_m) / (z1 - z_m) * (t1 - t_c) end) as ta, max(case when z_m <= 3000 and z1 > 3000 then t_c + (3000 - z_m) / (z1 - z_m) * (t1 - t_c) end) as tb from pr group by 1, 2),
-p as (select run, grid_index, h, case when p_hpa = h then tv when p1 = h then tv1 else tv + (p_hpa - h) / (p_hpa - p1) * (tv1 - tv) end as t, case when p1 = h then z1 else z_m + (p_hpa - h) / (p_hpa - p1) * (z1 - z_m) end as zz from pr, (values (700), (500)) as a(h) where p_hpa > h and p1 <= h)
-select z.run, z.grid_index, round((ta - tb) / 2.8, 6) as lapse_z, round((a.t - b.t) / ((b.zz - a.zz) / 1000), 6) as lapse_p
-from z left join p a on a.run = z.run and a.grid_index = z.grid_index and a.h = 700 left join p b on b.run = z.run and b.grid_index = z.grid_index and b.h = 500 where ta is not null and tb is not null
+g as (select run, grid_index, max(case when z_m <= 200 and z1 > 200 then t_c + (200 - z_m) / (z1 - z_m) * (t1 - t_c) end) as ta, max(case when z_m <= 3000 and z1 > 3000 then t_c + (3000 - z_m) / (z1 - z_m) * (t1 - t_c) end) as tb,
+  max(case when p_hpa > 700 and p1 <= 700 then case when p_hpa = 700 then tv when p1 = 700 then tv1 else tv + (p_hpa - 700) / (p_hpa - p1) * (tv1 - tv) end end) as t700, max(case when p_hpa > 700 and p1 <= 700 then case when p1 = 700 then z1 else z_m + (p_hpa - 700) / (p_hpa - p1) * (z1 - z_m) end end) as z700,
+  max(case when p_hpa > 500 and p1 <= 500 then case when p_hpa = 500 then tv when p1 = 500 then tv1 else tv + (p_hpa - 500) / (p_hpa - p1) * (tv1 - tv) end end) as t500, max(case when p_hpa > 500 and p1 <= 500 then case when p1 = 500 then z1 else z_m + (p_hpa - 500) / (p_hpa - p1) * (z1 - z_m) end end) as z500 from pr group by 1, 2)
+select run, grid_index, round((ta - tb) / 2.8, 6) as lapse_z, round((t700 - t500) / ((z500 - z700) / 1000), 6) as lapse_p from g where ta is not null and tb is not null
 """
 
 
