@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
@@ -55,12 +57,41 @@ def validate_native(pairs: DataFrame, keys: list[str], accept: float, review: fl
     return m.select("*", r.alias("r"), verdict.alias("verdict")).drop("_ab", "_va", "_vb")
 
 
+#: Accuracy of the sketch that brackets an order statistic, and values of a group up to which all of them are ranked.
+SKETCH, RANKED = 10_000, 100_000
+
+
+def order_statistics(values: DataFrame, keys: list[str], shares: dict[str, float], place: Callable[[Column, float], Column]) -> DataFrame:
+    """``keys``, n, mean, min, max and a column for each of ``shares``: the value at its exact place, from 1, in the order of a group's values.
+
+    ``place`` makes a place of n and a share. A mergeable sketch of each group brackets
+    every place by values a few ten-thousandths of the group away; what lies below a
+    bracket is counted, and only distinct values inside it are ranked, with their
+    numbers. So no group is sorted or held whole, whatever its distribution; groups up to
+    ``RANKED`` values are ranked whole. Null values count nowhere.
+    """
+    own, names = values.where("value is not null").select(*keys, "value"), list(shares)
+    edge = 3 / SKETCH
+    probes = [x for q in shares.values() for x in (max(0.0, q - edge), min(1.0, q + edge))]
+    g = own.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile_approx("value", F.array(*map(F.lit, probes)), SKETCH).alias("_p"))
+    small = F.col("n") <= RANKED
+    brackets = F.array(*(F.struct(F.lit(j).alias("j"), F.when(small, F.col("min")).otherwise(F.get("_p", F.lit(2 * j))).alias("lo"), F.when(small, F.col("max")).otherwise(F.get("_p", F.lit(2 * j + 1))).alias("hi"), place(F.col("n"), q).cast("long").alias("at")) for j, q in enumerate(shares.values())))
+    g = g.withColumn("_b", brackets).drop("_p")
+    near = own.join(g.select(*keys, "_b"), keys)
+    below = near.groupBy(*keys).agg(*(F.count_if(F.col("value") < F.col("_b")[j]["lo"]).alias(f"_u{j}") for j in range(len(names))))
+    inside = near.select(*keys, "value", F.explode(F.filter("_b", lambda b: F.col("value").between(b["lo"], b["hi"]))).alias("b")).groupBy(*keys, F.col("b.j").alias("j"), "value").agg(F.count("*").alias("c"))
+    ranked = inside.withColumn("upto", F.sum("c").over(Win.partitionBy(*keys, "j").orderBy("value").rowsBetween(Win.unboundedPreceding, 0)))
+    at = F.element_at(F.col("_b"), F.col("j") + 1)["at"] - F.get(F.array(*(F.col(f"_u{j}") for j in range(len(names)))), F.col("j"))
+    hit = ranked.join(g.select(*keys, "_b").join(below, keys), keys).where((F.col("upto") >= at) & (F.col("upto") - F.col("c") < at))
+    got = hit.groupBy(*keys).agg(*(F.max(F.when(F.col("j") == j, F.col("value"))).alias(n) for j, n in enumerate(names)))
+    return g.drop("_b").join(got, keys)
+
+
 def field_summary_rounded(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Values at the rounded places of their order, without interpolation."""
-    w = Win.partitionBy(*keys)
-    ranked = values.where("value is not null").select(*keys, "value", F.row_number().over(w.orderBy("value")).alias("i"), F.count("*").over(w).alias("n"))
-    pick = lambda q: F.max(F.when(F.col("i") == F.round((F.col("n") - 1) * q) + 1, F.col("value")))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("count"), F.avg("value").alias("mean"), *(pick(q).alias(f"p{round(q * 100):02d}") for q in (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)))
+    """Values at the rounded places of their order, without interpolation; see ``order_statistics``."""
+    shares = {f"p{round(q * 100):02d}": q for q in (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)}
+    got = order_statistics(values, keys, shares, lambda n, q: F.round((n - 1) * q) + 1)
+    return got.select(*keys, F.col("n").alias("count"), "mean", *shares)
 
 
 def stats_by_mask(fields: DataFrame, masks: DataFrame, keys: list[str]) -> DataFrame:
