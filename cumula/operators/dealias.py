@@ -97,7 +97,7 @@ def refine_sweep(observed: np.ndarray, corrected: np.ndarray, nyquist: float, pa
     return corrected
 
 
-def dealias_sweeps(gates: DataFrame, nyquist: float | str | None = None, method: str = "sweep", passes: int = 3) -> DataFrame:
+def dealias_sweeps(gates: DataFrame, nyquist: float | str | None = None, passes: int = 3, method: str = "sweep") -> DataFrame:
     """``gates`` (volume, sweep, az, gate, vel and more) with velocities unfolded.
 
     ``nyquist``: a number, or a column that has each radial's; a sweep uses the

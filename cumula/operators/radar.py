@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cumula.functions import wind as W
 from cumula.operators.components import connected
+from cumula.operators.dealias import dealias_sweeps as dealias_sweeps
 
 VOLUME = ["volume"]
 
