@@ -294,6 +294,34 @@ def test_near_copies_in_large_buckets(spark, monkeypatch):
     assert near_copies.keep_first(df.limit(0)).count() == 0
 
 
+def test_near_copies_compare_fingerprints_in_tiles(spark, sf, monkeypatch):
+    """The candidates are what lies within the radius, of all pairs by brute force; chunks of seven fingerprints too."""
+    from cumula.llm import near_copies
+
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(400)]
+    rows = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(250).collect()]
+    for k in range(60):  # copies with one word changed, of 8 to 127 words
+        text = list(rng.choice(words, 8 + 2 * k))
+        rows += [" ".join(text), " ".join([*text, "more"]), " ".join([*text[: len(text) // 2], "changed", *text[len(text) // 2 :]])]
+    sets = {near_copies._node(h): h for h in map(near_copies.shingles, rows)}
+    node, n = np.array(list(sets)), np.array([len(h) for h in sets.values()])
+    fps = np.array([near_copies.wide_fingerprint(h) for h in sets.values()])
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2, dtype=np.int64)
+    fit = (5 * np.minimum(n[:, None], n) >= 4 * np.maximum(n[:, None], n)) & (np.minimum(n[:, None], n) >= 4)
+    alike = np.array([[5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for b in sets.values()] for a in sets.values()])
+    assert alike.sum() > len(sets) + 60 and (apart[alike] <= near_copies.RADIUS).all()
+    want = near_copies.local_forest(len(node), *np.nonzero((apart <= near_copies.RADIUS) & fit))
+    df = spark.createDataFrame([(int(x), len(h), near_copies.wide_fingerprint(h).tobytes()) for x, h in sets.items()], "node long, n long, fp binary")
+    at = {int(x): k for k, x in enumerate(node)}
+    for chunk in (near_copies.TILE_ROWS, 7):
+        monkeypatch.setattr(near_copies, "TILE_ROWS", chunk)
+        got = [(at[r.u], at[r.v]) for r in near_copies.close_links(df).collect()]
+        u, v = np.array(got, np.int64).reshape(-1, 2).T
+        assert (near_copies.local_forest(len(node), u, v) == want).all()
+    assert near_copies.close_links(df.limit(0)).count() == 0
+
+
 def brute_base(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     c = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
