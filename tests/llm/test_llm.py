@@ -466,6 +466,18 @@ def test_cotraining_on_held_out_rows(spark, odd):
     assert cotraining.score(odd, blank).count() == len(ODD)
 
 
+def test_toxicity_trains_in_a_task(spark, sf):
+    """No text of the sample reaches the driver, and the model is that of the same rows trained here."""
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    toxicity._WORDS.clear()
+    model = toxicity.fit(d, lab)
+    assert len(toxicity._WORDS) == 0
+    rows = sorted(toxicity.labelled_sample(d, lab, "toxic").collect(), key=lambda r: (r.doc_id, r.y))
+    own = toxicity.train([(int(r.fold), r.text, r.lang, r.y) for r in rows])
+    ids = [toxicity._ids(r.text) for r in rows]
+    assert np.allclose(model.scores(ids), own.scores(ids), atol=1e-3)
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ids = {r.doc_id for r in docs.collect()}
