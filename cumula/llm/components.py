@@ -13,18 +13,25 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 def _star(links: DataFrame, larger: bool) -> DataFrame:
-    """Tie every neighbour of u to the least of u and its neighbours.
+    """Tie every neighbour of u to the least of u and its neighbours; the result has u above v.
 
-    ``larger``: only neighbours above u move; else only those below u, and u itself.
+    ``larger``: only neighbours above u move; else ``links`` has u above v, all
+    neighbours move, and u itself.
     """
-    side = links if larger else links.where("v < u")
-    least = side.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-    joined = side.join(least, "u")
+    least = links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
+    joined = links.join(least, "u")
     if larger:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    else:  # the least neighbour stands for u
+        out = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return out.distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (u above v) are stars: each u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    mixed = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or (ups = 1 and least = 0)")
+    return mixed.agg(F.count("*")).first()[0] == 0
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -32,18 +39,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges`` has two comparable columns u and v. Each round contracts stars
     (large, then small) and is a table in the shared folder; the edge count
-    never grows, and the rounds are logarithmic in the longest path. Self loops
-    and repeated edges are ignored, an empty table gives an empty result.
+    never grows, and the rounds are logarithmic in the longest path. They end
+    when only stars are left, so links that are stars already take none. Self
+    loops and repeated edges are ignored, an empty table gives an empty result.
     """
     current = written(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    size, mark = None, None
     for _ in range(max_rounds):
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now[0] == 0 or tuple(now) == mark:
+        if _settled(current):
             break
-        mark = tuple(now)
-        wide = _star(_both(current), larger=True)
-        current = written(_star(_both(wide), larger=False))
+        current = written(_star(_star(_both(current), larger=True), larger=False))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("u").alias("node"), F.col("v").alias("root"))

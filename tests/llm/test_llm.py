@@ -508,3 +508,22 @@ def test_clashing_columns_in_stages(spark, sf, odd):
     clash = odd.withColumnRenamed("score", "_toxicity").withColumn("_keep", F.lit(1))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, clash, sf).columns == clash.columns, name
+
+
+def test_components_end_with_stars(spark, monkeypatch):
+    """Links that are stars take no round; chains, rings and hubs come back whole, and the rounds stay few."""
+    tables, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df: tables.append(1) or write(df))
+    star = [(k, 1) for k in range(2, 40)] + [(1, 17), (5, 5), (None, 3), (90, 80), (80, 90)]
+    roots = {r.node: r.root for r in components.connected_components(spark.createDataFrame(star, "u long, v long")).collect()}
+    assert roots == {k: 1 for k in range(1, 40)} | {80: 80, 90: 80}
+    assert len(tables) == 1
+    tables.clear()
+    rng = np.random.default_rng(3)
+    names = rng.permutation(300).tolist()
+    edges = [(names[k], names[k + 1]) for k in range(99)] + [(names[100 + k], names[100 + (k + 1) % 100]) for k in range(100)] + [(names[200], names[k]) for k in range(201, 300)] + [(-7, names[250])]
+    rows = components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    least = [min(names[:100]), min(names[100:200]), -7]
+    assert len(rows) == 301 and {r.node: r.root for r in rows} == {n: least[k // 100] for k, n in enumerate(names)} | {-7: -7}
+    assert 2 <= len(tables) <= 8
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
