@@ -39,6 +39,6 @@ def differs(spark, tmp_path):
 LATE_ORDERS = "select * replace (o_orderkey + 1234500 as o_orderkey, case when o_orderkey // 10 % 7 = 0 then 'F' else o_orderstatus end as o_orderstatus) from small_orders"
 
 
-@pytest.mark.parametrize("name", ["key_diff", "diff_artifacts"])
+@pytest.mark.parametrize("name", ["key_diff", "diff_artifacts", "diff_fetches"])
 def test_artifact_keys_of_late_orders(differs, sf, name):
     assert not differs(name, sf, orders=LATE_ORDERS)
