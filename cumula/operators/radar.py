@@ -105,7 +105,7 @@ def meso_clusters(labelled: DataFrame, least: int = 4) -> DataFrame:
         F.count("*").alias("n"), F.avg(F.sin(a)).alias("s"), F.avg(F.cos(a)).alias("c"), F.avg("range_km").alias("range_km"), F.max("shear").alias("shear"), F.max("dv").alias("dv"), F.sum("sense").alias("vote"),
         (F.max("range_km") - F.min("range_km")).alias("depth"),
     ).where(F.col("n") >= least)
-    az = F.pmod(F.degrees(F.atan2("s", "c")), F.lit(360.0))
+    az = (F.degrees(F.atan2("s", "c")) + 360) % 360  # bit for bit as in SQL: places exactly at a limit of distance hang on the last one
     return g.select(*VOLUME, "sweep", "elev", "label", "n", az.alias("az"), "range_km", "shear", "dv", F.when(F.col("vote") >= 0, "cyclonic").otherwise("anticyclonic").alias("sense"), F.greatest(F.lit(1.0), F.least(F.lit(20.0), F.col("depth"))).alias("diameter_km"), W.rotation_strength(F.col("shear")).alias("strength"))
 
 

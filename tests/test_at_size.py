@@ -47,3 +47,8 @@ def test_artifact_keys_of_late_orders(differs, sf, name):
 def test_samples_of_runs_from_1000_on(differs, sf):
     late = "select * replace (o_orderkey + 292800 as o_orderkey) from small_orders union all select * replace (o_orderkey + 2952000 as o_orderkey) from small_orders"
     assert not differs("ml_samples", sf, orders=late)
+
+
+def test_rotations_exactly_ten_km_apart(differs, sf):
+    volume = "select * replace (l_orderkey + 150000 as l_orderkey, l_partkey + 20000 as l_partkey) from read_parquet('/root/testdata/sf0.1/lineitem.parquet') where l_orderkey between 8400 and 11999"
+    assert not differs("mesocyclone_tilts", sf, lineitem=volume)
