@@ -83,7 +83,7 @@ def many(spark):
     return values, cells, points
 
 
-@pytest.mark.parametrize("name", ["sample_box_mean"])
+@pytest.mark.parametrize("name", ["sample_box_mean", "sample_idw4"])
 def test_samples_at_points_are_not_shuffled(spark, many, name):
     values, cells, points = many
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # values of many runs are too large for it
