@@ -117,3 +117,16 @@ def test_samples_of_keys_that_lack_cells(many):
             assert ((run, i) in box) == ((run, near[i]) in have)
             if (run, near[i]) in have:
                 assert (box[run, i].n, box[run, i].value) == (len(there), pytest.approx(sum(there) / len(there)) if there else have[run, near[i]])
+
+
+@pytest.mark.parametrize("name", ["point_timeseries"])
+def test_series_at_points_are_not_shuffled(spark, sf, tmp_path, name):
+    """Sixty times the points over the same cells: what is worked out belongs to cells."""
+    for t in TABLES:
+        duckdb.sql(f"copy (select * {'replace (c_custkey + i * 150 as c_custkey) from' if t == 'customer' else 'from'} read_parquet('{sf}/{t}.parquet'){', range(60) r(i)' if t == 'customer' else ''}) to '{tmp_path}/{t}.parquet' (format parquet)")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        assert most_shuffled(got) < got.count() / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
