@@ -119,7 +119,7 @@ def test_samples_of_keys_that_lack_cells(many):
                 assert (box[run, i].n, box[run, i].value) == (len(there), pytest.approx(sum(there) / len(there)) if there else have[run, near[i]])
 
 
-@pytest.mark.parametrize("name", ["point_timeseries", "point_series"])
+@pytest.mark.parametrize("name", ["point_timeseries", "point_series", "box_soundings"])
 def test_series_at_points_are_not_shuffled(spark, sf, tmp_path, name):
     """Sixty times the points over the same cells: what is worked out belongs to cells."""
     for t in TABLES:
