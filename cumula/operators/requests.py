@@ -94,10 +94,11 @@ def mosaic_series(files: DataFrame, values: DataFrame, cells: DataFrame, patches
     """One row for each file (keys, valid_ts) and patch: cells, statistics, threshold shares and the label of its time.
 
     Values at or below -990 or from 1e6 on are missing. Files without values
-    stay as rows with an error and without a patch.
+    stay as rows with an error and without a patch. Members are written, so that their true
+    size is known: else values, whose estimate leaves out their hours, would be broadcast.
     """
     v = F.col("value")
-    own = values.withColumn("value", F.when((v > -990) & (v < 1e6), v * scale)).join(R.membership(cells, patches), "grid_index")
+    own = values.withColumn("value", F.when((v > -990) & (v < 1e6), v * scale)).join(written(R.membership(cells, patches)), "grid_index")
     by = [*keys, "poly_id"]
     got = R.summarize(own, by).join(R.threshold_counts(own, by, {k: v >= x for k, x in thresholds.items()}).drop("valid"), by)
     label = files.withColumn("time_label", relative_label(F.col("valid_ts"), ref))

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from cumula import registry
+from cumula.operators import places as PL
 from cumula.operators import sampling as S
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -55,8 +56,8 @@ def test_rotations_exactly_ten_km_apart(differs, sf):
     assert not differs("mesocyclone_tilts", sf, lineitem=volume)
 
 
-def most_shuffled(df):
-    """Greatest number of rows that one exchange of a query writes."""
+def most_rows(df, metric, kind):
+    """Greatest number of rows that one exchange of a query writes or broadcasts."""
 
     def nodes(p):
         name = p.nodeName()
@@ -70,10 +71,14 @@ def most_shuffled(df):
                 yield from nodes(p.children().apply(i))
 
     df.collect()
-    found = (p.metrics().get("shuffleRecordsWritten") for p in nodes(df._jdf.queryExecution().executedPlan()))
+    found = (p.metrics().get(metric) for p in nodes(df._jdf.queryExecution().executedPlan()) if p.nodeName().startswith(kind))
     return max((m.get().value() for m in found if m.isDefined()), default=0)
 
 
+def most_shuffled(df):
+    return most_rows(df, "shuffleRecordsWritten", "Exchange")
+
+
 @pytest.fixture
 def many(spark):
     """Values of 40 keys on 12 cells, and 400 points amid them."""
@@ -130,3 +135,7 @@ def test_series_at_points_are_not_shuffled(spark, sf, tmp_path, name):
         assert most_shuffled(got) < got.count() / 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_mosaic_values_are_not_broadcast(spark, sf):
+    assert most_rows(registry.QUERIES["mosaic_series"](spark, sf.replace("0.001", "0.01")), "numOutputRows", "BroadcastExchange") < 10_000
