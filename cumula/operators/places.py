@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from cumula.shared import written
 
 AREA_KEYS = ["area_id", "place_id"]
 AREA = ("west", "east", "south", "north")
+#: Places of an area up to which its best are taken one by one.
+FEW = 64
 CROP = ("crop_west", "crop_east", "crop_south", "crop_north")
 
 
@@ -84,7 +88,8 @@ def declutter(ranked: DataFrame, order: list[Column], spacing_km: float = 0.0, m
     of its centre. In a round a place stays if it is the best left in all of its tiles:
     none that could oust it is undecided. What conflicts with those kept then leaves;
     a tile keeps one place a round at most, so no pairs of one area are formed. Rounds
-    follow the longest chain of places that wait for each other.
+    follow the longest chain of places that wait for each other. If few are wanted
+    (``most`` up to ``FEW``), a round takes the best left of each area instead, and no tiles are formed.
     """
     at = F.col
     place = F.struct(*(c.alias(f"_o{i}") for i, c in enumerate(order)))
@@ -98,17 +103,31 @@ def declutter(ranked: DataFrame, order: list[Column], spacing_km: float = 0.0, m
     rows = F.sequence(F.floor(south / tile), F.floor(north / tile))
     tiles = F.array_distinct(F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: F.struct(y.alias("y"), x.alias("x"))))))
     named = ["area_id", "place_id", "lat", "lon", *(CROP if crop else ())]
-    state, kept = written(ranked.where("lat is not null and lon is not null").select(*named, place.alias("_p"), tiles.alias("_tiles"), F.lit(False).alias("_kept"))), None
+
+    def crowds() -> Column:
+        close = (at("place_id") == at("_k_place_id")) | (W.haversine(at("lat"), at("lon"), at("_k_lat"), at("_k_lon")) < spacing_km)
+        return close | F.coalesce(W.overlap_fraction(tuple(crop), tuple(at(f"_k_{c}") for c in CROP)) > most_overlap, F.lit(False)) if crop else close
+
+    placed = ranked.where("lat is not null and lon is not null")
+    if most is not None and most <= FEW:
+        left, found = placed.select(*named, place.alias("_p")), []
+        for n in range(most):
+            left = written(left)
+            best = written(left.groupBy("area_id").agg(F.min(F.struct("_p", *named[1:])).alias("_b")).select("area_id", *(at(f"_b.{c}").alias(f"_k_{c}") for c in named[1:])))
+            if best.isEmpty():
+                break
+            found.append(best.select("area_id", at("_k_place_id").alias("place_id"), F.lit(n + 1).alias("rank")))
+            left = left.join(best, "area_id").where(~F.coalesce(crowds(), F.lit(False))).select(left.columns)
+        numbered = reduce(DataFrame.unionByName, found) if found else placed.select("area_id", "place_id", F.lit(0).alias("rank"))
+        return ranked.join(numbered, AREA_KEYS)
+    state, kept = written(placed.select(*named, place.alias("_p"), tiles.alias("_tiles"), F.lit(False).alias("_kept"))), None
     while not (left := state.where("not _kept")).isEmpty():
         spread = left.select("area_id", "place_id", "_p", F.explode("_tiles").alias("_t"))
         first = spread.groupBy("area_id", "_t").agg(F.min(F.struct("_p", "place_id")).alias("_b"))
         wins = first.groupBy("area_id", at("_b.place_id").alias("place_id")).agg(F.count("*").alias("_n"))
         best = left.join(wins, AREA_KEYS).where(at("_n") == F.size("_tiles")).drop("_n")
         other = best.select("area_id", F.explode("_tiles").alias("_t"), *(at(c).alias(f"_k_{c}") for c in named[1:]))
-        close = (at("place_id") == at("_k_place_id")) | (W.haversine(at("lat"), at("lon"), at("_k_lat"), at("_k_lon")) < spacing_km)
-        if crop:
-            close = close | F.coalesce(W.overlap_fraction(tuple(crop), tuple(at(f"_k_{c}") for c in CROP)) > most_overlap, F.lit(False))
-        out = left.withColumn("_t", F.explode("_tiles")).join(other, ["area_id", "_t"]).where(close).select(*AREA_KEYS).distinct()
+        out = left.withColumn("_t", F.explode("_tiles")).join(other, ["area_id", "_t"]).where(crowds()).select(*AREA_KEYS).distinct()
         state = written(left.join(out, AREA_KEYS, "left_anti").unionByName(best.withColumn("_kept", F.lit(True))))
         now = state.where("_kept")
         kept = now if kept is None else kept.unionByName(now)

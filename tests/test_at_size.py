@@ -139,3 +139,12 @@ def test_series_at_points_are_not_shuffled(spark, sf, tmp_path, name):
 
 def test_mosaic_values_are_not_broadcast(spark, sf):
     assert most_rows(registry.QUERIES["mosaic_series"](spark, sf.replace("0.001", "0.01")), "numOutputRows", "BroadcastExchange") < 10_000
+
+
+def test_few_places_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    """Each place of a line crowds the next two, so all wait for the first; three of an area are wanted."""
+    rounds, own = [], PL.written
+    monkeypatch.setattr(PL, "written", lambda df: rounds.append(0) or own(df))
+    line = spark.range(40).selectExpr("1L as area_id", "id as place_id", "30D as lat", "-100D + id * 0.1D as lon", "1D - id / 100 as score")
+    got = [(r["rank"], r.place_id) for r in PL.select_places(line, 20.0, 3).collect()]
+    assert sorted(got) == [(1, 0), (2, 3), (3, 6)] and len(rounds) <= 7
