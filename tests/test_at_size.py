@@ -148,3 +148,12 @@ def test_few_places_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     line = spark.range(40).selectExpr("1L as area_id", "id as place_id", "30D as lat", "-100D + id * 0.1D as lon", "1D - id / 100 as score")
     got = [(r["rank"], r.place_id) for r in PL.select_places(line, 20.0, 3).collect()]
     assert sorted(got) == [(1, 0), (2, 3), (3, 6)] and len(rounds) <= 7
+
+
+def test_sites_at_one_place_are_looked_at_k_times(spark, monkeypatch):
+    seen, own = [], S._probe
+    monkeypatch.setattr(S, "_probe", lambda cells, *rest: seen.append(cells.count()) or own(cells, *rest))
+    sites = spark.range(3000).selectExpr("id as grid_index", "30D + id % 10 * 0.3D as lat", "-100D as lon")
+    points = spark.range(50).selectExpr("id as point_id", "30D + id * 0.05D as plat", "-100.1D as plon")
+    got = {(r.point_id, r["rank"]): r.grid_index for r in S.k_nearest(sites, points, 3, km=True).collect()}
+    assert len(got) == 150 and [got[0, i] for i in (1, 2, 3)] == [0, 10, 20] and max(seen) <= 30
